@@ -150,7 +150,8 @@ def keyword_boost(path: C, body: C) -> Column:
     return F.least(F.lit(0.25), score)
 
 
-TYPE_TOKEN = r"\b([A-Z][a-zA-Z0-9]*(?:\.[A-Za-z0-9]+)*)\b"
+# Word boundaries are those of ASCII, whatever the Java version.
+TYPE_TOKEN = r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z0-9]*(?:\.[A-Za-z0-9]+)*)(?![A-Za-z0-9_])"
 #: Types of languages and libraries that name no type of a repository.
 COMMON_TYPES = (
     "String Object Integer Long Boolean Double Float Number Byte Short Character Void List Map Set Collection Optional Stream "

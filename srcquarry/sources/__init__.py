@@ -1,0 +1 @@
+"""Sources: repository trees, parser output, API descriptions, manifests."""
