@@ -4,7 +4,7 @@ A random forest on compression ratio, token entropy, identifier lengths, comment
 names. Labels come from notices in file headers; header comments and notices are cut out before any
 feature is computed, so the forest learns what such files look like without them. Three corpus statistics
 over all rows join the features: in how many repositories the same content occurs, and how often *other*
-files that share a name part or directory carry a notice (the row itself is left out).
+files that share a name part or directory carry a notice (of other folds, so that no row sees its own label).
 
 The forest is fitted on at most SAMPLE rows chosen by hash, notices or not; every row is scored. Many such
 files carry no notice, so rows without one are not all negatives: a first forest scores the sample out of
@@ -35,6 +35,8 @@ from srcquarry.runtime import Scratch, spread
 #: Rows the forest is fitted on at most.
 SAMPLE = 20_000
 THRESHOLD = 0.5
+#: Folds of the notice statistics.
+FOLDS = 5
 #: Out-of-bag score from which a row without a notice is no reliable negative.
 DOUBT = 0.08
 #: Share of literals in what is neither comment nor punctuation above which a file is labelled as data stored
@@ -223,10 +225,13 @@ def described(sources: DataFrame) -> DataFrame:
 def with_statistics(rows: DataFrame) -> DataFrame:
     """``rows`` with three more features: repositories with the same content, highest notice rate of a name part, of a directory."""
     copies = rows.filter("digest is not null").select("digest", "repo_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("repos"))
-    parts = rows.select("file", "notice", F.explode("parts").alias("part"))
+    parts = rows.select("file", "notice", F.pmod(F.xxhash64("file"), F.lit(FOLDS)).alias("fold"), F.explode("parts").alias("part"))
+    folds = parts.groupBy("part", "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("notice").alias("fpos"))
     # Only parts seen with a notice can raise a rate; the common ones without stay out of the join.
-    rates = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("notice").alias("pos")).filter("pos >= 2 and pos >= 0.05 * n")
-    own = parts.join(rates, "part").withColumn("rate", (F.col("pos") - F.col("notice") + 0.2) / (F.col("n") - 1 + 2.0))
+    whole = folds.groupBy("part").agg(F.sum("fn").alias("n"), F.sum("fpos").alias("pos")).filter("pos >= 2 and pos >= 0.05 * n")
+    # Rates of the other folds, in steps of 0.05: rows of a fold get the same value whatever their own label.
+    rates = folds.join(whole, "part").select("part", "fold", F.round((F.col("pos") - F.col("fpos") + 0.2) / (F.col("n") - F.col("fn") + 2.0) * 20).alias("rate"))
+    own = parts.select("file", "fold", "part").join(rates.withColumn("rate", F.col("rate") / 20), ["part", "fold"])
     best = own.groupBy("file").agg(
         F.max(F.when(F.col("part").startswith("dir:"), F.col("rate"))).alias("dir_rate"), F.max(F.when(~F.col("part").startswith("dir:"), F.col("rate"))).alias("name_rate")
     )
