@@ -34,7 +34,7 @@ from srcquarry.runtime import Scratch, spread
 
 #: Rows the forest is fitted on at most.
 SAMPLE = 20_000
-THRESHOLD = 0.5
+THRESHOLD = 0.55
 #: Folds of the notice statistics.
 FOLDS = 5
 #: Out-of-bag score from which a row without a notice is no reliable negative.
@@ -228,7 +228,7 @@ def with_statistics(rows: DataFrame) -> DataFrame:
     parts = rows.select("file", "notice", F.pmod(F.xxhash64("file"), F.lit(FOLDS)).alias("fold"), F.explode("parts").alias("part"))
     folds = parts.groupBy("part", "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("notice").alias("fpos"))
     # Only parts seen with a notice can raise a rate; the common ones without stay out of the join.
-    whole = folds.groupBy("part").agg(F.sum("fn").alias("n"), F.sum("fpos").alias("pos")).filter("pos >= 2 and pos >= 0.05 * n")
+    whole = folds.groupBy("part").agg(F.sum("fn").alias("n"), F.sum("fpos").alias("pos")).filter("pos >= 2 and pos >= 0.25 * n")
     # Rates of the other folds, in steps of 0.05: rows of a fold get the same value whatever their own label.
     rates = folds.join(whole, "part").select("part", "fold", F.round((F.col("pos") - F.col("fpos") + 0.2) / (F.col("n") - F.col("fn") + 2.0) * 20).alias("rate"))
     own = parts.select("file", "fold", "part").join(rates.withColumn("rate", F.col("rate") / 20), ["part", "fold"])
