@@ -17,6 +17,10 @@ from srcquarry.runtime import Scratch, slots
 
 #: Consumed edges are dropped from the working set once they are this share of it.
 PRUNE_SHARE = 0.5
+#: Frontiers of at most so many rows take STEPS levels in one plan.
+SMALL, STEPS = 100_000, 6
+#: Links a parent has at least before it counts as one with more than its share.
+HOT_LINKS = 10_000
 
 
 def contains_edges(edges: DataFrame, edge_type: str = "CONTAINS") -> DataFrame:
@@ -35,18 +39,41 @@ def extra_parents(links: DataFrame) -> DataFrame:
     return links.join(kept, "child").filter("parent <> kept").select("child", "parent")
 
 
+def _several(frontier: DataFrame, live: DataFrame, level: int, k: int, keep_path: bool) -> DataFrame:
+    """The next ``k`` levels below a frontier in one plan: a chain of left joins, each row one way down.
+
+    Inner nodes come once per way, so rows are made distinct; there are at most ``k`` times as many as nodes.
+    """
+    cur = frontier.withColumnRenamed("symbol_id", "n0")
+    for j in range(1, k + 1):
+        cur = cur.join(live.select(F.col("parent").alias(f"n{j - 1}"), F.col("child").alias(f"n{j}")), f"n{j - 1}", "left")
+    ways = []
+    for j in range(1, k + 1):
+        fields = [F.col(f"n{j}").alias("symbol_id"), F.lit(level + j).alias("depth")]
+        if keep_path:
+            fields.append(F.concat("path", F.array(*[f"n{i}" for i in range(1, j + 1)])).alias("path"))
+        ways.append(F.struct(*fields))
+    rows = cur.select("root_symbol_id", F.explode(F.array(*ways)).alias("x")).filter("x.symbol_id is not null")
+    cols = ["x.symbol_id", "root_symbol_id", "x.depth"] + (["x.path"] if keep_path else [])
+    return rows.select(*cols).distinct() if k > 1 else rows.select(*cols)
+
+
 def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     """(symbol_id, root_symbol_id, depth[, path array]) for every id in (parent, child) ``links``.
 
     The links are reduced to one parent per child, hash-partitioned and sorted by parent once and kept;
     each level joins the frontier with them (a broadcast while Spark's size limit allows it, else a merge
     join that shuffles only the frontier), and is written to the shared folder, which cuts the lineage.
-    Work per level is the frontier plus a scan of the links still unused.
+    A small frontier takes several levels at once. Links are dropped from the working set once used.
+
+    A parent with more than its share of all links (there can be at most twice as many such parents as
+    partitions) would make one partition of them all: its links stay spread as they are, and the few
+    frontier rows of such parents, bounded by that number, are broadcast to them.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
     n = max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one = scratch.write(links.groupBy("child").agg(F.min("parent").alias("parent")), "links")
+    one, left = scratch.write_counted(links.groupBy("child").agg(F.min("parent").alias("parent")), "links")
 
     nodes = one.select(F.col("child").alias("symbol_id"), F.lit(1).alias("is_child")).unionByName(
         one.select(F.col("parent").alias("symbol_id"), F.lit(0).alias("is_child"))
@@ -63,23 +90,31 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     def keep(df: DataFrame) -> DataFrame:
         return df.repartition(n, "parent").sortWithinPartitions("parent").persist()
 
-    live = keep(one)
-    left, used, level = live.count(), 0, 0
+    share = max(HOT_LINKS, left // (2 * n))
+    hot, n_hot = scratch.write_counted(one.groupBy("parent").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > share).select("parent"), "hot")
+    live = keep(one.join(F.broadcast(hot), "parent", "left_anti") if n_hot else one)
+    wide = one.join(F.broadcast(hot), "parent", "left_semi").persist() if n_hot else None
+    used = level = 0
     while size and left:
-        level += 1
-        step = frontier.withColumnRenamed("symbol_id", "parent").join(live, "parent")
-        cols = [F.col("child").alias("symbol_id"), "root_symbol_id", (F.col("depth") + 1).alias("depth")]
-        if keep_path:
-            cols.append(F.concat("path", F.array("child")).alias("path"))
-        frontier, size = scratch.write_counted(step.select(*cols), f"level/l={level}")
-        used += size
+        k = STEPS if size <= SMALL and wide is None else 1
+        rows = _several(frontier, live, level, k, keep_path)
+        if wide is not None:
+            few = frontier.join(F.broadcast(hot.withColumnRenamed("parent", "symbol_id")), "symbol_id", "left_semi").limit(n_hot)
+            rows = rows.unionByName(_several(F.broadcast(few), wide, level, 1, keep_path).filter("symbol_id is not null"))
+        count = F.count(F.lit(1))
+        new, seen = scratch.write_observed(rows, f"level/l={level + 1}", n=count, last=F.count_if(F.col("depth") == level + k))
+        level += k
+        frontier, size = new.filter(F.col("depth") == level) if k > 1 else new, seen["last"]
+        used += seen["n"]
         if size and used >= PRUNE_SHARE * left:
             gone = scratch.read("level/l=*", schema).select(F.col("symbol_id").alias("child"))
             rest = keep(live.join(gone, "child", "left_anti"))
-            left, used = rest.count(), 0
+            left, used = rest.count() + (n_hot and left), 0
             live.unpersist()
             live = rest
     live.unpersist()
+    if wide is not None:
+        wide.unpersist()
     reached = scratch.read("level/l=*", schema)
     lost = nodes.select("symbol_id").join(reached.select("symbol_id"), "symbol_id", "left_anti")
     lost = lost.select("symbol_id", F.lit("").alias("root_symbol_id"), F.lit(-1).alias("depth"))

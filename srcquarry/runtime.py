@@ -52,9 +52,14 @@ class Scratch:
 
     def write_counted(self, df: DataFrame, part: str) -> tuple[DataFrame, int]:
         """``write`` that also returns the number of rows, observed while they are written."""
+        out, seen = self.write_observed(df, part, n=F.count(F.lit(1)))
+        return out, seen["n"]
+
+    def write_observed(self, df: DataFrame, part: str, **metrics) -> tuple[DataFrame, dict]:
+        """``write`` that also returns aggregates, observed while the rows are written."""
         seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{self.path}/{part}")
-        return self.read(part, df.schema), seen.get["n"]
+        df.observe(seen, *[m.alias(k) for k, m in metrics.items()]).write.mode("overwrite").parquet(f"{self.path}/{part}")
+        return self.read(part, df.schema), seen.get
 
     def read(self, part: str, schema=None) -> DataFrame:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read

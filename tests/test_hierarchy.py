@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from srcquarry.operators import hierarchy as h
 from srcquarry.operators.components import connected_components
 from srcquarry.operators.hierarchy import contains_edges, descendants, extra_parents, hierarchy, loops
 
@@ -64,10 +67,16 @@ def test_extra_columns_and_several_parents(spark):
     assert [(x.child, x.parent) for x in extra_parents(df).collect()] == [("x", "b")]
 
 
-def test_hot_parent(spark):
+@pytest.mark.parametrize("hot_links", [10_000, 300])
+def test_hot_parent(spark, monkeypatch, hot_links):
+    monkeypatch.setattr(h, "HOT_LINKS", hot_links)
     links = spark.range(5000).selectExpr("case when id % 3 = 0 then 'hot' else concat('p', id % 7) end as parent", "concat('c', id) as child")
+    links = links.union(spark.createDataFrame([("c0", "x"), ("x", "y"), ("r", "hot"), ("c3", "z")], "parent string, child string"))
+    tree = hierarchy(links, keep_path=True)
+    assert {r.symbol_id: "/".join(r.path) for r in tree.filter("symbol_id in ('hot', 'y', 'z')").collect()} == {"hot": "r/hot", "y": "r/hot/c0/x/y", "z": "r/hot/c3/z"}
     tree = hierarchy(links)
-    assert tree.filter("depth = 1").count() == 5000 and tree.filter("root_symbol_id = 'hot'").count() == 1668
+    assert tree.count() == 5000 + 7 + 5
+    assert tree.filter("root_symbol_id = 'r'").count() == 1 + 1 + 1667 + 3
 
 
 def test_components_match_union_find(spark):
