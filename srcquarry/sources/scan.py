@@ -13,10 +13,21 @@ from srcquarry.functions.python import json_pointer
 from srcquarry.schemas import CLASS_RECORD, PARSED_FILE
 
 
-def tree(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """(file, content binary, size) of the files below a folder, paths relative to it."""
+def hidden_skill_dirs(spark: SparkSession, root: str, depth: int = 3) -> list[str]:
+    """Folders of agent skills down to a depth. File sources leave out names that begin with a dot below the
+    folder they are given, so these folders are given to them by name (a listing of folders, not of files)."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    for level in range(depth + 1):
+        p = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/*" * level + "/{.cursor,.agent}/skills")
+        found += [x.getPath().toString() for x in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []]
+    return found
+
+
+def tree(spark: SparkSession, root: str, glob: str = "*", also: list[str] | None = None) -> DataFrame:
+    """(file, content binary, size) of the files below a folder and further folders in it, paths relative to it."""
     base = root.rstrip("/").removeprefix("file:")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load([root, *(also or [])])
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^/*" + base.lstrip("/") + "/", "")
     return raw.select(rel.alias("file"), "content", F.col("length").alias("size"))
 
@@ -33,7 +44,7 @@ def repository(spark: SparkSession, root: str, skip: list[str] | None = None) ->
 
 def documents(spark: SparkSession, root: str, prefix: str = "", limit: int = 4000, largest: int = 2 << 20) -> DataFrame:
     """(file, kind, content) of documents, skills, schemas and API descriptions, at most ``limit`` in path order."""
-    t = tree(spark, root).filter((F.col("size") <= largest) & ~P.in_skipped_dir(F.regexp_replace("file", r"(^|/)\.(cursor|agent)/", "$1")))
+    t = tree(spark, root, also=hidden_skill_dirs(spark, root)).filter((F.col("size") <= largest) & ~P.in_skipped_dir(F.regexp_replace("file", r"(^|/)\.(cursor|agent)/", "$1")))
     t = t.withColumn("content", F.col("content").cast("string")).withColumn("kind", P.doc_kind("file", "content")).filter("kind is not null")
     if prefix.strip("/"):
         t = t.filter(P.under_prefix("file", prefix.strip("/")))
