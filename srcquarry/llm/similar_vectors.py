@@ -32,7 +32,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from srcquarry.runtime import Scratch, spread
 
 PROJECTIONS = 40
-BLOCK = 2048
+BLOCK = 4096
+#: Queries of a block that are counted at a time.
+STRIP = 128
 ENOUGH = 64
 #: Windows reach this many times the radius to each side (the projections have unit variance).
 REACH = 2.0
@@ -56,15 +58,23 @@ def collide(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple
     """Index pairs of two blocks of quantised projections [lines, rows] that collide often enough."""
     need = int(np.ceil(SHARE * PROJECTIONS))
     steps = [max(1, int(np.ceil(r * REACH * STEPS))) for r in radii(threshold)]
-    counts = np.zeros((a.shape[1], b.shape[1]), np.uint8)
-    off, near = np.empty(counts.shape, np.uint8), np.empty(counts.shape, bool)
     wide = steps[-1]
-    for x, y in zip(a, b):
-        # (x - y + wide) as a byte is at most 2 * wide exactly if |x - y| <= wide: values keep clear of wrapping.
-        np.subtract((x + np.uint8(wide))[:, None], y[None], out=off)
-        np.less_equal(off, np.uint8(2 * wide), out=near)
-        counts += near.view(np.uint8)
-    i, j = np.nonzero(counts >= need)
+    shifted = a + np.uint8(wide)
+    found_i, found_j = [], []
+    # Strips of queries keep the counters in the processor's cache.
+    for at in range(0, a.shape[1], STRIP):
+        x = shifted[:, at : at + STRIP]
+        counts = np.zeros((x.shape[1], b.shape[1]), np.uint8)
+        off, near = np.empty(counts.shape, np.uint8), np.empty(counts.shape, bool)
+        for k in range(len(x)):
+            # (x - y + wide) as a byte is at most 2 * wide exactly if |x - y| <= wide: values keep clear of wrapping.
+            np.subtract(x[k][:, None], b[k][None], out=off)
+            np.less_equal(off, np.uint8(2 * wide), out=near)
+            np.add(counts, near.view(np.uint8), out=counts)
+        i, j = np.nonzero(counts >= need)
+        found_i.append(i + at)
+        found_j.append(j)
+    i, j = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_i, found_j))
     if same:
         i, j = i[i < j], j[i < j]
     if not len(i):
@@ -133,13 +143,9 @@ def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
         block = table.column("block").to_numpy()
         cls = table.column("class").to_pylist()
         codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, PROJECTIONS)
-        out: list[tuple[bytes, bytes]] = []
         at, bt = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        for x in range(0, len(at), BLOCK):
-            for y in range(x if one == two else 0, len(bt), BLOCK):
-                p, q = at[x : x + BLOCK], bt[y : y + BLOCK]
-                i, j = collide(np.ascontiguousarray(codes[p].T), np.ascontiguousarray(codes[q].T), threshold, one == two and x == y)
-                out += [(cls[m], cls[n]) for m, n in zip(p[i].tolist(), q[j].tolist())]
+        i, j = collide(np.ascontiguousarray(codes[at].T), np.ascontiguousarray(codes[bt].T), threshold, one == two)
+        out = [(cls[m], cls[n]) for m, n in zip(at[i].tolist(), bt[j].tolist())]
         a, b = zip(*out) if out else ((), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
