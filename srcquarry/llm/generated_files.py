@@ -55,8 +55,8 @@ NOTICE = re.compile(
 UPPER_NOTICE = re.compile(r"\bDO NOT (?:EDIT|MODIFY)\b")
 #: Leading comments and blank lines.
 HEADER = re.compile(r"﻿?(?:\s+|/\*.*?\*/|//[^\n]*(?:\n|$)|<!--.*?-->|#![^\n]*(?:\n|$))*", re.S)
-PARTS = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|<!--.*?(?:-->|\Z)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|\b0x[0-9a-fA-F]+|-?\b\d[\d.]*", re.S)
-
+# A quotation that is not closed ends with its line, so that no text takes more than linear time.
+PARTS = re.compile(r"/\*.*?(?:\*/|\Z)|//[^\n]*|<!--.*?(?:-->|\Z)|\"(?:[^\"\\\n]|\\.)*\"?|'(?:[^'\\\n]|\\.)*'?|`[^`]*`?|\b0x[0-9a-fA-F]+|-?\b\d[\d.]*", re.S)
 NON_WORD = re.compile(r"\W+")
 
 FEATURES = (
