@@ -123,14 +123,30 @@ def merge_small(parts: pd.DataFrame, least: int, most: int, gap: int = 2, cpt: i
 
 
 def merged_chunks(df: DataFrame, least: int = 300, most: int = 800) -> DataFrame:
-    """(file, chunk, parts, start_line, end_line) of (file, chunk_type, start_line, end_line, size): a fold within each file."""
+    """(file, chunk, parts, start_line, end_line) of (file, chunk_type, start_line, end_line, size): a fold within each file.
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["start_line", "end_line", "size", "chunk_type"]).reset_index(drop=True)
-        r = merge_small(g, least, most)
-        return pd.DataFrame({"file": g["file"].iloc[[a for a, _ in r]].to_numpy(), "chunk": range(len(r)), "parts": [b - a + 1 for a, b in r], "start_line": [g["start_line"].iloc[a] for a, _ in r], "end_line": [g["end_line"].iloc[a : b + 1].max() for a, b in r]})
+    Rows arrive sorted by file, so a batch holds many whole files; the rows of the last one wait for the next batch.
+    """
+    columns = ["file", "chunk", "parts", "start_line", "end_line"]
+
+    def fold(g: pd.DataFrame) -> Iterator[tuple]:
+        ends = g["end_line"].to_numpy()
+        for k, (a, b) in enumerate(merge_small(g, least, most)):
+            yield g["file"].iloc[a], k, b - a + 1, int(g["start_line"].iloc[a]), int(ends[a : b + 1].max())
 
-    return df.groupBy("file").applyInPandas(run, "file string, chunk int, parts int, start_line int, end_line int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            cut = (b["file"] != b["file"].iloc[-1]).to_numpy().sum() if len(b) else 0
+            rest = b.iloc[cut:].reset_index(drop=True)
+            yield pd.DataFrame([r for _, g in b.iloc[:cut].groupby("file", sort=False) for r in fold(g)], columns=columns)
+        if rest is not None and len(rest):
+            yield pd.DataFrame(list(fold(rest)), columns=columns)
+
+    placed = df.select("file", "chunk_type", "start_line", "end_line", "size").filter("file is not null").repartition("file")
+    placed = placed.sortWithinPartitions("file", "start_line", "end_line", "size", "chunk_type")
+    return placed.mapInPandas(run, "file string, chunk int, parts int, start_line int, end_line int")
 
 
 def window_text(content: str, lines: list[int], limit: int = 6000) -> str:

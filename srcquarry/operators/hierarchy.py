@@ -2,7 +2,8 @@
 
 Results for odd input, covered by ``tests/test_hierarchy.py``:
 
-* rows with a null end are no edge; repeated rows count once; an empty table gives an empty result;
+* a row with one null end links nothing, but its other end is a node; repeated rows count once; an empty
+  table gives an empty result;
 * a child with several parents hangs under its smallest parent id (``extra_parents`` lists the others);
 * a node that no root reaches lies on a loop or below one: ``root = ''``, ``depth = -1``, no path;
 * ids are opaque: the empty string is an id like any other, nothing is trimmed;
@@ -25,17 +26,24 @@ HOT_LINKS = 10_000
 
 def contains_edges(edges: DataFrame, edge_type: str = "CONTAINS") -> DataFrame:
     """(parent, child) of the edges of one type, ignoring case and white space around it, once each."""
+    kind = F.upper(F.regexp_replace("edge_type", r"^\s+|\s+$", ""))
     return (
-        edges.filter(F.upper(F.trim("edge_type")) == edge_type)
+        edges.filter(kind == edge_type)
         .select(F.col("caller_symbol_id").alias("parent"), F.col("callee_symbol_id").alias("child"))
-        .filter(F.col("parent").isNotNull() & F.col("child").isNotNull())
+        .filter(F.col("parent").isNotNull() | F.col("child").isNotNull())
         .distinct()
     )
 
 
+def _linked(links: DataFrame) -> DataFrame:
+    """Links with both ends, one parent per child."""
+    both = links.filter(F.col("parent").isNotNull() & F.col("child").isNotNull())
+    return both.groupBy("child").agg(F.min("parent").alias("parent"))
+
+
 def extra_parents(links: DataFrame) -> DataFrame:
     """(child, parent) links beyond the one kept per child."""
-    kept = links.groupBy("child").agg(F.min("parent").alias("kept"))
+    kept = _linked(links).withColumnRenamed("parent", "kept")
     return links.join(kept, "child").filter("parent <> kept").select("child", "parent")
 
 
@@ -73,11 +81,12 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
     n = max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    one, left = scratch.write_counted(links.groupBy("child").agg(F.min("parent").alias("parent")), "links")
+    # One row per child or, without one, parent: (null, child) and (parent, null) keep nodes that nothing links.
+    named, _ = scratch.write_counted(links.select("child", "parent").filter("child is not null or parent is not null").distinct(), "named")
+    one, left = scratch.write_counted(_linked(named), "links")
 
-    nodes = one.select(F.col("child").alias("symbol_id"), F.lit(1).alias("is_child")).unionByName(
-        one.select(F.col("parent").alias("symbol_id"), F.lit(0).alias("is_child"))
-    )
+    nodes = named.filter("child is not null").select(F.col("child").alias("symbol_id"), F.col("parent").isNotNull().cast("int").alias("is_child"))
+    nodes = nodes.unionByName(named.filter("parent is not null").select(F.col("parent").alias("symbol_id"), F.lit(0).alias("is_child")))
     nodes = nodes.groupBy("symbol_id").agg(F.max("is_child").alias("is_child"))
     roots = nodes.filter("is_child = 0").select(
         "symbol_id", F.col("symbol_id").alias("root_symbol_id"), F.lit(0).alias("depth")
@@ -140,7 +149,7 @@ def loops(links: DataFrame, tree: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "loops")
-    one = links.groupBy("child").agg(F.min("parent").alias("parent"))
+    one = _linked(links)
     lost = tree.filter("depth = -1").select(F.col("symbol_id").alias("child"))
     (rest, size), k = scratch.write_counted(one.join(lost, "child", "left_semi"), "rest/0"), 0
     while size:

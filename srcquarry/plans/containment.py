@@ -34,11 +34,11 @@ def p6_loops(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p6_found, p6_paths, p6_descendants, p6_loops)}
 
-_TREE = """
-    WITH RECURSIVE link AS (
-        SELECT callee_symbol_id AS child, min(caller_symbol_id) AS parent FROM edges
-        WHERE upper(trim(edge_type)) = 'CONTAINS' AND caller_symbol_id IS NOT NULL AND callee_symbol_id IS NOT NULL GROUP BY 1),
-    node AS (SELECT child AS id FROM link UNION SELECT parent FROM link),
+_TREE = r"""
+    WITH RECURSIVE named AS (
+        SELECT DISTINCT caller_symbol_id AS parent, callee_symbol_id AS child FROM edges WHERE upper(regexp_replace(edge_type, '^\s+|\s+$', '', 'g')) = 'CONTAINS'),
+    link AS (SELECT child, min(parent) AS parent FROM named WHERE parent IS NOT NULL AND child IS NOT NULL GROUP BY 1),
+    node AS (SELECT child AS id FROM named WHERE child IS NOT NULL UNION SELECT parent FROM named WHERE parent IS NOT NULL),
     tree AS (
         SELECT id AS symbol_id, id AS root_symbol_id, 0 AS depth, id AS path FROM node WHERE id NOT IN (SELECT child FROM link)
         UNION ALL

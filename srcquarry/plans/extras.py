@@ -115,13 +115,13 @@ SQL["domain_models"] = """WITH {sym}, k AS (SELECT DISTINCT regexp_extract(fq_na
 
 @_q
 def epoch_times(t: Tables):
-    """Run times out of epoch milliseconds (0 is unset): start, day, hours to the end."""
+    """Run times out of epoch milliseconds (0 is unset): start, whole minutes to the end."""
     r = t.index_runs.select("run_id", "started_at", "finished_at").distinct()
     start = F.timestamp_millis(F.nullif("started_at", F.lit(0)))
-    return r.select("run_id", F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started"), F.round((F.nullif("finished_at", F.lit(0)) - F.nullif("started_at", F.lit(0))) / 3600000.0, 6).alias("hours"))
+    return r.select("run_id", F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("started"), F.expr("(nullif(finished_at, 0) - nullif(started_at, 0)) div 60000").alias("minutes"))
 
 
-SQL["epoch_times"] = """SELECT DISTINCT run_id, strftime(make_timestamp(nullif(started_at, 0) // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS started, round((nullif(finished_at, 0) - nullif(started_at, 0)) / 3600000.0::DOUBLE, 6) AS hours FROM index_runs"""
+SQL["epoch_times"] = """SELECT DISTINCT run_id, strftime(make_timestamp(nullif(started_at, 0) // 1000 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS started, (nullif(finished_at, 0) - nullif(started_at, 0)) // 60000 AS minutes FROM index_runs"""
 
 
 @_q

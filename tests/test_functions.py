@@ -98,6 +98,21 @@ def test_merge_small():
     assert Y.merge_small(p, 300, 800) == [(0, 1), (2, 2), (3, 3), (4, 4)]
 
 
+def test_merged_chunks_equal_the_fold_per_file(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(f"f{r.randrange(9)}", r.choice("de"), a := r.randrange(200), a + r.randrange(6), r.randrange(1, 400)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "file string, chunk_type string, start_line int, end_line int, size int")
+    got = sorted(map(tuple, Y.merged_chunks(df).collect()))
+    want = []
+    for f, g in df.toPandas().groupby("file"):
+        g = g.sort_values(["start_line", "end_line", "size", "chunk_type"]).reset_index(drop=True)
+        want += [(f, k, b - a + 1, int(g["start_line"][a]), int(g["end_line"][a : b + 1].max())) for k, (a, b) in enumerate(Y.merge_small(g, 300, 800))]
+    assert got == sorted(want)
+    assert Y.merged_chunks(df.limit(0)).count() == 0
+
+
 def test_windows_and_responses():
     text = "\n".join(f"line {k}" for k in range(1, 400))
     w = Y.window_text(text, [200], 700)
