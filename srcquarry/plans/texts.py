@@ -300,6 +300,22 @@ def low_value_test(t: Tables):
     return s.select("file", L.low_value_reason("file", "content").alias("low_value"), L.empty_test_reason("file", "content").alias("empty_test"))
 
 
+SQL["low_value_test"] = r"""
+    WITH s AS (SELECT file, content, trim(content) AS s, lower(trim(content)) AS low, lower(regexp_extract(file, '([^/]*)$', 1)) AS base FROM sources WHERE content IS NOT NULL AND ({is_test}))
+    SELECT file, CASE WHEN s = '' THEN '' WHEN regexp_matches(s, '(?is)typeof\s*\(.*?\).*?Assert\.NotNull\s*\(') THEN 'reflection existence assertion'
+        WHEN regexp_matches(s, '(?is)Assert\.NotNull\s*\(\s*new\s+[A-Za-z_][A-Za-z0-9_]*Tests?\s*\(') THEN 'self-smoke test' WHEN regexp_matches(s, '(?is)@(Disabled|Ignore|Ignored)\b.{{0,160}}?\{{\s*(?://[^\n]*\n|\s)*\}}') THEN 'empty disabled test'
+        WHEN regexp_matches(s, '(?is)\b(?:it|test|describe)\.skip\s*\(') THEN 'skipped test'
+        WHEN regexp_matches(s, '(?i)\bAssert\.True\s*\(\s*true\s*\)|\bAssert\.False\s*\(\s*false\s*\)|\bexpect\s*\(\s*true\s*\)\s*\.\s*toBe\s*\(\s*true\s*\)|\bexpect\s*\(\s*false\s*\)\s*\.\s*toBe\s*\(\s*false\s*\)') THEN 'tautological assertion'
+        WHEN regexp_matches(s, '(?i)\bno[- ]?op\b|\bplaceholder\b|\btodo\b|\bfix later\b') AND NOT contains(low, 'assert') THEN 'placeholder'
+        WHEN regexp_matches(s, '(?is)typeof\s*\([^)]+\)\s*\.\s*(Namespace|Name)\b') AND regexp_matches(low, 'assert\.(equal|areequal|isnotnull|notnull)') THEN 'type metadata only'
+        WHEN regexp_matches(base, 'smoke|reference') AND regexp_matches(low, 'assert\.notnull|\.tobedefined\(') THEN 'smoke only' ELSE '' END AS low_value,
+      CASE WHEN trim(content) = '' THEN '' WHEN ends_with(base, '.java') AND NOT regexp_matches(content, '@(?:Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)\b') THEN 'no Java test method'
+        WHEN ends_with(base, '.cs') AND NOT regexp_matches(content, '\[(?:Fact|Theory|Test|TestCase|TestMethod|DataTestMethod)\b') THEN 'no C# test method'
+        WHEN regexp_matches(base, '\.(tsx?|jsx?|mjs|cjs)$') AND NOT regexp_matches(content, '\b(?:it|test|fit|xit)\s*[.(]') THEN 'no script test call' ELSE '' END AS empty_test FROM s""".format(
+    is_test=__import__("srcquarry.plans.lookups", fromlist=["SQL"]).SQL["test_path_classifier"].split("SELECT DISTINCT file, is_test,")[1].split("AS by_path")[0]
+)
+
+
 @_q
 def build_log_sanitize(t: Tables):
     """Documents as build logs: tool epilogues dropped, blank runs collapsed."""
@@ -308,6 +324,14 @@ def build_log_sanitize(t: Tables):
     return d.select("doc_id", F.md5(out.cast("binary")).alias("digest"), F.length(out).cast("long").alias("size"))
 
 
+SQL["build_log_sanitize"] = r"""
+    WITH d AS (SELECT DISTINCT doc_id, replace(text, chr(13), '') || chr(10) || chr(10) || chr(10) || '[ERROR] -> [Help 1]' || chr(10) || '[ERROR]' || chr(10) || '[ERROR] Failed to execute goal x' || chr(10) || '[ERROR] rest' || chr(10) AS log FROM documents WHERE text IS NOT NULL),
+    c AS (SELECT doc_id, substr(log, 1, strpos(log, '[ERROR] Failed to execute goal x') + 31) AS log FROM d),
+    l AS (SELECT doc_id, list_transform(list_filter(string_split(log, chr(10)), lambda x: NOT regexp_matches(x, '^\s*\[ERROR\]\s*$') AND NOT contains(x, '[ERROR] -> [Help ')), lambda x: CASE WHEN regexp_matches(x, '^\s*$') THEN '' ELSE x END) AS l FROM c),
+    o AS (SELECT doc_id, regexp_replace(regexp_replace(array_to_string(l, chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '\n+$', '') AS s FROM l)
+    SELECT doc_id, md5(s) AS digest, length(s) AS size FROM o"""
+
+
 @_q
 def failing_paths(t: Tables):
     """Files named by their stem in documents on lines that read like a failure."""
