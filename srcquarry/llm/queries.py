@@ -77,7 +77,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.split_sentences(_table(spark, d, "documents").select("doc_id", "text").distinct()).distinct()
+    return sentences.split_sentences(_table(spark, d, "documents")).distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
