@@ -25,13 +25,13 @@ HOT_LINKS = 10_000
 
 
 def contains_edges(edges: DataFrame, edge_type: str = "CONTAINS") -> DataFrame:
-    """(parent, child) of the edges of one type, ignoring case and white space around it, once each."""
+    """(parent, child) of the edges of one type, ignoring case and white space around it (repeated rows stay: the
+    operators below count them once, in the aggregate they need anyway)."""
     kind = F.upper(F.regexp_replace("edge_type", r"^\s+|\s+$", ""))
     return (
         edges.filter(kind == edge_type)
         .select(F.col("caller_symbol_id").alias("parent"), F.col("callee_symbol_id").alias("child"))
         .filter(F.col("parent").isNotNull() | F.col("child").isNotNull())
-        .distinct()
     )
 
 
@@ -44,7 +44,7 @@ def _linked(links: DataFrame) -> DataFrame:
 def extra_parents(links: DataFrame) -> DataFrame:
     """(child, parent) links beyond the one kept per child."""
     kept = _linked(links).withColumnRenamed("parent", "kept")
-    return links.join(kept, "child").filter("parent <> kept").select("child", "parent")
+    return links.join(kept, "child").filter("parent <> kept").select("child", "parent").distinct()
 
 
 def _several(frontier: DataFrame, live: DataFrame, level: int, k: int, keep_path: bool) -> DataFrame:
@@ -81,8 +81,8 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
     n = max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # One row per child or, without one, parent: (null, child) and (parent, null) keep nodes that nothing links.
-    named, _ = scratch.write_counted(links.select("child", "parent").filter("child is not null or parent is not null").distinct(), "named")
+    # All rows that name a node: those with a null end or a parent that is not taken keep nodes that nothing links.
+    named = scratch.write(links.select("child", "parent").filter("child is not null or parent is not null"), "named")
     one, left = scratch.write_counted(_linked(named), "links")
 
     nodes = named.filter("child is not null").select(F.col("child").alias("symbol_id"), F.col("parent").isNotNull().cast("int").alias("is_child"))
