@@ -256,33 +256,50 @@ def banded_distance(a: list[np.ndarray], b: list[np.ndarray], band: int = BAND)
     return np.minimum(out, np.maximum(la, lb)).astype(np.int64)
 
 
+def _distinct_shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, shingle) of a column of token lists, each once, sorted."""
+    sizes = np.diff(column.offsets.to_numpy()) if column.offset == 0 else np.array([len(x) for x in column])
+    tokens = column.flatten().to_numpy(zero_copy_only=False).view(_U)
+    h, row = shingles(tokens, np.repeat(np.arange(len(column)), sizes))
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))[: len(h)]
+    return row[new], h[new]
+
+
+def set_similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of each row, all rows of a batch at once."""
+    (ra, ha), (rb, hb) = _distinct_shingles(a), _distinct_shingles(b)
+    n = len(a)
+    row, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    same = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
+    both = np.bincount(row[1:][same], minlength=n)
+    return both / np.maximum(1, np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both)
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, jaccard, edit_similarity) of (a, b, ta, tb) with at least ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                seqs = [[x.values.to_numpy(zero_copy_only=False).view(_U) for x in part.column(k)] for k in (2, 3)]
-                keep, jac = [], []
-                for k, (x, y) in enumerate(zip(*seqs)):
-                    sx, sy = (np.unique(shingles(t, np.zeros(len(t), np.int64))[0]) for t in (x, y))
-                    both = len(np.intersect1d(sx, sy, assume_unique=True))
-                    j = both / (len(sx) + len(sy) - both)
-                    if j >= threshold:
-                        keep.append(k)
-                        jac.append(j)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                jac = set_similarity(part.column(2), part.column(3))
+                keep = np.flatnonzero(jac >= threshold)
+                seqs = [[part.column(k)[i].values.to_numpy(zero_copy_only=False).view(_U) for i in keep.tolist()] for k in (2, 3)]
                 edit = np.empty(len(keep))
                 # Pairs of like length are aligned together; a long pair waits for no short one.
-                by = sorted(range(len(keep)), key=lambda i: len(seqs[0][keep[i]]))
-                group = max(1, min(64, 4_000_000 // (len(seqs[0][keep[by[-1]]]) + len(seqs[1][keep[by[-1]]]) + 1))) if keep else 1
+                by = sorted(range(len(keep)), key=lambda i: len(seqs[0][i]))
+                group = max(1, min(64, 4_000_000 // (len(seqs[0][by[-1]]) + len(seqs[1][by[-1]]) + 1))) if by else 1
                 for g in range(0, len(by), group):
                     own = by[g : g + group]
-                    x, y = ([seqs[s][keep[i]] for i in own] for s in (0, 1))
+                    x, y = ([seqs[s][i] for i in own] for s in (0, 1))
                     longest = np.array([max(len(p), len(q)) for p, q in zip(x, y)])
                     edit[own] = 1 - banded_distance(x, y) / longest
-                take = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(jac, pa.float64()), pa.array(edit)], names=["a", "b", "jaccard", "edit_similarity"])
+                take = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(jac[keep]), pa.array(edit)], names=["a", "b", "jaccard", "edit_similarity"])
 
     return pairs.mapInArrow(run, "a binary, b binary, jaccard double, edit_similarity double")
 
