@@ -16,11 +16,11 @@ def diff(current: DataFrame, stored: DataFrame, key: str = "file", value: str =
 
 
 def delta(changes: DataFrame, symbols: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row of totals of a change set."""
+    """One row of totals of a change set: one aggregate over the union of what is counted."""
     live = changes.filter("change <> 'removed'").select("file")
-    n = lambda df, name: df.join(live, "file", "left_semi").agg(F.count(F.lit(1)).alias(name)).withColumn("one", F.lit(1))
-    total = changes.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")]).withColumn("one", F.lit(1))
-    return total.join(n(symbols, "symbols"), "one").join(n(chunks, "chunks"), "one").drop("one")
+    what = changes.select("change").unionByName(symbols.join(live, "file", "left_semi").select(F.lit("symbols").alias("change")))
+    what = what.unionByName(chunks.join(live, "file", "left_semi").select(F.lit("chunks").alias("change")))
+    return what.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed", "symbols", "chunks")])
 
 
 def force_reindex(repos: DataFrame, changed: DataFrame, runs: DataFrame, chunks: DataFrame) -> DataFrame:

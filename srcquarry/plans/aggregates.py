@@ -235,12 +235,13 @@ def cascade_delete(t: Tables):
     """Symbols and edges left after the symbols of the test files are deleted, edges at both ends."""
     gone = G.one_file(t.files).filter("is_test").select("file")
     symbols, edges = C.delete_files(G.placed_symbols(t.symbols), G.distinct_edges(t.edges), gone)
-    return edges.groupBy("edge_type").agg(F.count(F.lit(1)).alias("edges")).join(symbols.agg(F.count(F.lit(1)).alias("symbols")).withColumn("edge_type", F.lit("CALLS")), "edge_type", "left")
+    left = edges.select(F.concat(F.lit("edge "), "edge_type").alias("what")).unionByName(symbols.select(F.concat(F.lit("symbol "), F.coalesce(F.lower("kind"), F.lit(""))).alias("what")))
+    return left.groupBy("what").agg(F.count(F.lit(1)).alias("n"))
 
 
-SQL["cascade_delete"] = f"""WITH {_SYM}, k AS (SELECT id FROM s WHERE file IS NULL OR file NOT IN (SELECT file FROM f WHERE is_test))
-    SELECT edge_type, count(*) AS edges, CASE WHEN edge_type = 'CALLS' THEN (SELECT count(*) FROM k) END AS symbols FROM e
-    WHERE caller_symbol_id IN (SELECT id FROM k) AND callee_symbol_id IN (SELECT id FROM k) GROUP BY 1"""
+SQL["cascade_delete"] = f"""WITH {_SYM}, k AS (SELECT id, kind FROM s WHERE file IS NULL OR file NOT IN (SELECT file FROM f WHERE is_test))
+    SELECT 'edge ' || edge_type AS what, count(*) AS n FROM e WHERE caller_symbol_id IN (SELECT id FROM k) AND callee_symbol_id IN (SELECT id FROM k) GROUP BY 1
+    UNION ALL SELECT 'symbol ' || coalesce(lower(kind), ''), count(*) FROM k GROUP BY 1"""
 
 
 @_q

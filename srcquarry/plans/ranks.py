@@ -73,7 +73,8 @@ def embedding_rerank(t: Tables):
     q = _first(t)
     target = F.array(*[F.lit(float(x)) for x in q["embedding"]])
     score = F.round(F.coalesce(F.when(F.col("vec_id") % 7 != 0, K.cosine(F.col("embedding"), target)), F.lit(-2.0)), 6)
-    return t.embeddings.select("vec_id", score.alias("score")).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id"))).filter("rank <= 100")
+    best = t.embeddings.select("vec_id", score.alias("score")).orderBy(F.desc("score"), "vec_id").limit(100)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))  # over the 100 rows left
 
 
 SQL["embedding_rerank"] = f"""WITH {_Q}, s AS (SELECT e.vec_id, CASE WHEN e.vec_id % 7 <> 0 THEN round({_COSINE}, 6) ELSE -2.0::DOUBLE END AS score FROM embeddings e, q)
