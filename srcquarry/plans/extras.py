@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from srcquarry.functions import paths as P, text as X
 from srcquarry.operators import changes as C, graph as G, ranking as K, rows as R, summaries as S
 from srcquarry.plans.base import Tables, query
-from srcquarry.plans.joins import _SYM
+from srcquarry.plans.joins import _SYM, SQL as JOINS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -143,7 +143,7 @@ def insert_idempotent(t: Tables):
 
 
 SQL["insert_idempotent"] = """WITH x AS (SELECT DISTINCT caller_symbol_id, callee_symbol_id, upper(trim(edge_type)) AS edge_type FROM edges WHERE caller_symbol_id IS NOT NULL AND callee_symbol_id IS NOT NULL UNION SELECT *, 'TESTS_SOURCE' FROM ({tests}))
-    SELECT edge_type, count(*) AS n FROM x GROUP BY 1""".format(tests=__import__("srcquarry.plans.joins", fromlist=["SQL"]).SQL["tests_source_edges"])
+    SELECT edge_type, count(*) AS n FROM x GROUP BY 1""".format(tests=JOINS["tests_source_edges"])
 
 
 @_q

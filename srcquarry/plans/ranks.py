@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window, functions as F
 
 from srcquarry.functions import text as X
@@ -220,7 +222,7 @@ def ir_metrics(t: Tables):
     near = near.join(t.embeddings.select("vec_id", "label"), "vec_id").join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("want")), "query_id")
     rel = (F.col("label") == F.col("want")).cast("int")
     gain = rel / F.log2(F.col("rank") + 1)
-    ideal = sum(1 / __import__("math").log2(k + 1) for k in range(1, 6))
+    ideal = sum(1 / math.log2(k + 1) for k in range(1, 6))
     per = near.groupBy("query_id").agg(F.coalesce(F.max(rel / F.col("rank")), F.lit(0.0)).alias("rr"), (F.sum(rel) / 5).alias("p5"), (F.sum(gain) / ideal).alias("ndcg5"))
     return per.agg(F.round(F.avg("rr"), 6).alias("mrr"), F.round(F.avg("p5"), 6).alias("p_at_5"), F.round(F.avg("ndcg5"), 6).alias("ndcg_at_5"))
 

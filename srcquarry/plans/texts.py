@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from srcquarry.functions import logs as L, paths as P, python as Y, text as X
 from srcquarry.operators import graph as G, rows as R
 from srcquarry.plans.base import Tables, query
+from srcquarry.plans.lookups import SQL as LOOKUPS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -312,7 +313,7 @@ SQL["low_value_test"] = r"""
       CASE WHEN trim(content) = '' THEN '' WHEN ends_with(base, '.java') AND NOT regexp_matches(content, '@(?:Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)\b') THEN 'no Java test method'
         WHEN ends_with(base, '.cs') AND NOT regexp_matches(content, '\[(?:Fact|Theory|Test|TestCase|TestMethod|DataTestMethod)\b') THEN 'no C# test method'
         WHEN regexp_matches(base, '\.(tsx?|jsx?|mjs|cjs)$') AND NOT regexp_matches(content, '\b(?:it|test|fit|xit)\s*[.(]') THEN 'no script test call' ELSE '' END AS empty_test FROM s""".format(
-    is_test=__import__("srcquarry.plans.lookups", fromlist=["SQL"]).SQL["test_path_classifier"].split("SELECT DISTINCT file, is_test,")[1].split("AS by_path")[0]
+    is_test=LOOKUPS["test_path_classifier"].split("SELECT DISTINCT file, is_test,")[1].split("AS by_path")[0]
 )
 
 

@@ -15,7 +15,7 @@ def one(spark, column, **values):
 def test_text(spark):
     assert one(spark, X.strip_block_comments("s"), s="a/* b\n*/c/**/d") == "acd"
     assert one(spark, X.strip_block_comments("s"), s="a/* open") == "an"
-    assert one(spark, X.sanitize("s", comment_limit=5), s="  // 123456\nx  ") == "//…\nx" or one(spark, X.sanitize("s", comment_limit=5), s="// 123456\nx") == "// 12…\nx"
+    assert one(spark, X.sanitize("s", comment_limit=5), s="// 123456\nx ") == "// 12…\nx"
     assert one(spark, X.line_range("s", F.lit(2), F.lit(9)), s="a\nb\nc") == "b\nc"
     assert one(spark, X.line_range("s", F.lit(7), F.lit(9)), s="a\nb") == ""
     assert one(spark, X.embedding_input("s", 3), s="  abcdef ") == "abc" and one(spark, X.embedding_input("s"), s=" \n") == " "
@@ -64,7 +64,7 @@ def test_logs(spark):
 
 
 def test_summaries(spark):
-    assert S.bisected([("a", 5), ("b", 5), ("c", 9)], 10) == [["a"], ["b"], ["c"]] or S.bisected([("a", 5), ("b", 5), ("c", 9)], 10) == [["a"], ["b", "c"]]
+    assert S.bisected([("a", 5), ("b", 5), ("c", 9)], 10) == [["a"], ["b"], ["c"]]
     assert S.bisected([], 5) == [] and S.bisected([("x", 99)], 5) == [["x"]]
     df = spark.createDataFrame([("f", "aa"), ("f", "b" * 50), ("f", "c")], "k string, n string")
     r = S.manifest(df, "k", "n", 20).first()
