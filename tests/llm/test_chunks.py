@@ -25,7 +25,7 @@ def test_pieces_of_random_texts():
 def test_cuts_are_natural_and_greedy():
     text = "aaaa\nbbbb\ncccc\n\ndddd eeee"
     doc, a, b = splitting.split_batch([text], np.array([10]), np.array([2]))
-    assert [text[x:y] for x, y in zip(a, b)] == ["aaaa\nbbbb\n", "b\ncccc\n", "c\n\ndddd ", "d eeee"] or [y for y in b][:-1] == [i for i in b[:-1] if text[i - 1] in "\n "]
+    assert all(text[y - 1] in "\n " for y in b[:-1]) and text[a[0] : b[0]] == "aaaa\nbbbb\n"
 
 
 def test_split_chunks(spark):
@@ -39,7 +39,7 @@ def test_split_chunks(spark):
     assert a[0].start_line == 100 and a[-1].end_line == 105
     assert all(p.content[-8:] == q.content[:8] for p, q in zip(a, a[1:]))
     c = [r for r in got if r.id == "c"]
-    assert [(r.start_char, r.end_char, r.start_line) for r in c] == [(0, 2880, 0), (2560, 3201, 0)] or sum(r.end_char - r.start_char for r in c) == 3201 + 320 * (len(c) - 1)
+    assert sum(r.end_char - r.start_char for r in c) == 3201 + 320 * (len(c) - 1) and {r.start_line for r in c} == {0}
     assert splitting.split_chunks(df.limit(0), limits).count() == 0
 
 
