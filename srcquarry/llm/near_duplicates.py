@@ -313,16 +313,17 @@ def near_duplicate_classes(df: DataFrame, threshold: float, hot: int = HOT) -> t
     classes = scratch.write(sketched.groupBy("class").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min("id").alias("rep")), "classes")
     rows = classes.select("class", "n", F.explode("keys").alias("key"))
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = scratch.write(rows.join(counts, "key"), "shared")
+    shared, seen = scratch.write_observed(rows.join(counts, "key"), "shared", hot=F.count_if(F.col("size") > hot))
     usual = salted_pairs(shared.filter(F.col("size") <= hot).select("key", "class", "n"), "key", threshold)
     candidates = scratch.write(usual, "usual")
     in_hot = shared.filter(F.col("size") > hot).select("class").distinct()
-    needed = candidates.select(F.col("a").alias("class")).union(candidates.select(F.col("b").alias("class"))).union(in_hot).distinct()
+    needed = candidates.select(F.col("a").alias("class")).union(candidates.select(F.col("b").alias("class")))
+    needed = (needed.union(in_hot) if seen["hot"] else needed).distinct()
     reps = needed.join(classes.select("class", "rep"), "class").select("class", F.col("rep").alias("id"))
     one = texts.join(reps, "id").groupBy("class").agg(F.first("content").alias("content"))
     tokens = scratch.write(_token_lists(one), "tokens")
-    exact = _exact_pairs(tokens.join(in_hot, "class", "left_semi"), threshold)
-    candidates = candidates.union(exact).distinct()
+    if seen["hot"]:
+        candidates = candidates.union(_exact_pairs(tokens.join(in_hot, "class", "left_semi"), threshold)).distinct()
     full = candidates.join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(
         tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b"
     )
