@@ -217,9 +217,9 @@ def closure(edges: DataFrame, start: DataFrame, a: str, b: str, rounds: int = 32
     while n and k < rounds:
         k += 1
         new = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        known = scratch.read("reached/r=*", front.schema)
+        known = scratch.read("reached", front.schema).drop("r")
         front, n = scratch.write_counted(new.join(known, ["start", "node"], "left_anti"), f"reached/r={k}")
-    return scratch.read("reached/r=*", front.schema).distinct()
+    return scratch.read("reached", front.schema).drop("r").distinct()
 
 
 def link_routes(symbols: DataFrame, route_key, client_key) -> DataFrame:

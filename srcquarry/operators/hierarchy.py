@@ -116,7 +116,7 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
         frontier, size = new.filter(F.col("depth") == level) if k > 1 else new, seen["last"]
         used += seen["n"]
         if size and used >= PRUNE_SHARE * left:
-            gone = scratch.read("level/l=*", schema).select(F.col("symbol_id").alias("child"))
+            gone = scratch.read("level", schema).drop("l").select(F.col("symbol_id").alias("child"))
             rest = keep(live.join(gone, "child", "left_anti"))
             left, used = rest.count() + (n_hot and left), 0
             live.unpersist()
@@ -124,7 +124,7 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     live.unpersist()
     if wide is not None:
         wide.unpersist()
-    reached = scratch.read("level/l=*", schema)
+    reached = scratch.read("level", schema).drop("l")
     lost = nodes.select("symbol_id").join(reached.select("symbol_id"), "symbol_id", "left_anti")
     lost = lost.select("symbol_id", F.lit("").alias("root_symbol_id"), F.lit(-1).alias("depth"))
     if keep_path:
