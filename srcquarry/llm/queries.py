@@ -30,9 +30,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar chunks of each chunk within its repository, from a cosine of 0.9 on."""
+    """The five most similar chunks of each chunk within its repository, however far they are."""
     vectors = _table(spark, d, "chunks").select("id", F.col("repo_id").alias("grp"), "embedding")
-    return similar_vectors.neighbours(vectors, k=5, threshold=0.9, dim=64)
+    return similar_vectors.neighbours(vectors, k=5, dim=64)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -15,6 +15,9 @@ copies is one row and expands to at most ``k`` neighbours per member.
 Accuracy: with the 40 lines and the largest window, a pair at the similarity threshold collides often enough with a
 probability above 0.999 (binomial over the lines); unrelated pairs pass with about 1e-4 and are then verified exactly.
 
+Without a threshold no radius is wide enough for all queries (on sf0.1 most have no vector at 0.9), so
+``neighbours`` then scans the pairs of blocks exactly and keeps the ``k`` best of each row in each; here the vectors travel.
+
 Defined results: embeddings that are null, of another length, with null, NaN or infinite values or all
 zero take no part; repeated rows count once; a row of a null group takes no part; a vector is not its own
 neighbour; ties in similarity go to the smaller id; extra columns are ignored.
@@ -36,6 +39,8 @@ BLOCK = 4096
 #: Queries of a block that are counted at a time.
 STRIP = 128
 ENOUGH = 64
+#: More than the error of a single-precision cosine of unit vectors.
+ERROR = 1e-5
 #: Windows reach this many times the radius to each side (the projections have unit variance).
 REACH = 2.0
 #: Share of the lines on which a pair must collide.
@@ -128,15 +133,79 @@ def _projected(df: DataFrame, dim: int) -> DataFrame:
     return spread(df).mapInArrow(run, schema)
 
 
-def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate (a, b) classes of (grp, class, code)."""
+def _tasks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(grp, one, two, block, columns) of rows (grp, class, ...): each row once for each pair of blocks it takes part in."""
     sizes = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / (BLOCK * 0.9)).cast("int"))
     placed = rows.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     # A row of block x goes to the tasks (x, y) and (y, x) with the smaller block first.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = placed.select("grp", "class", "code", "block", other).select(
-        "grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "class", "code"
-    )
+    return placed.select("grp", "block", other, *columns).select("grp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", *columns)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int, threshold: float | None, same: bool, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, cosine): for each row of ``x`` its ``k`` most similar rows of ``y``, ties by ``order``, of all or those in ``mask``."""
+    norms = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    near, far = (x / norms[0][:, None]).astype(np.float32), (y / norms[1][:, None]).astype(np.float32).T.copy()
+    out = []
+    for at in range(0, len(x), STRIP):
+        part = None if mask is None else mask[at : at + STRIP]
+        if part is not None and 64 * np.count_nonzero(part) <= part.size:
+            i, j = np.nonzero(part)
+        else:
+            # Single precision only preselects: whatever could be among the best within its error is computed again.
+            dots = near[at : at + STRIP] @ far
+            if part is not None:
+                dots[~part] = -2
+            if same:
+                dots[np.arange(len(dots)), np.arange(at, at + len(dots))] = -2
+            low = np.partition(dots, dots.shape[1] - k, axis=1)[:, -k:-k + 1 or None] - 2 * ERROR if dots.shape[1] > k else np.full((len(dots), 1), -1.5)
+            i, j = np.nonzero(dots >= np.maximum(low, -1.5 if threshold is None else threshold - ERROR))
+        i = i + at
+        if same:
+            i, j = i[i != j], j[i != j]
+        cos = np.empty(len(i))
+        for s in range(0, len(i), 1 << 16):
+            u, v = i[s : s + (1 << 16)], j[s : s + (1 << 16)]
+            cos[s : s + (1 << 16)] = np.minimum(np.einsum("ij,ij->i", x[u], y[v]) / (norms[0][u] * norms[1][v]), 1.0)
+        if threshold is not None:
+            i, j, cos = (z[cos >= threshold] for z in (i, j, cos))
+        by = np.lexsort((order[j], -cos, i))
+        i, j, cos = i[by], j[by], cos[by]
+        first = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.empty(0, np.int64)
+        top = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i)))) < k
+        out.append((i[top], j[top], cos[top]))
+    return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+
+
+def _block_nearest(rows: DataFrame, k: int, dim: int) -> DataFrame:
+    """(a, b, cosine): the ``k`` most similar classes b of each class a within each pair of blocks, by an exact scan.
+
+    ``rows`` has grp, class, id (the smallest of the class) and embedding.
+    """
+    tasks = _tasks(rows, ["class", "id", "embedding"])
+
+    def run(key, table):
+        _, one, two = (x.as_py() for x in key)
+        block, cls = table.column("block").to_numpy(), table.column("class").to_pylist()
+        ids = table.column("id").to_pylist()
+        order = np.empty(len(ids), np.int64)
+        order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
+        v = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        a, b, c = [], [], []
+        for p, q in {(one, two), (two, one)}:
+            at, bt = np.flatnonzero(block == p), np.flatnonzero(block == q)
+            i, j, cos = nearest(v[at], v[bt], order[bt], k, None, p == q)
+            a += [cls[m] for m in at[i].tolist()]
+            b += [cls[m] for m in bt[j].tolist()]
+            c.append(cos)
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "cosine": pa.array(np.concatenate(c), pa.float64())})
+
+    return tasks.groupBy("grp", "one", "two").applyInArrow(run, "a binary, b binary, cosine double")
+
+
+def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
+    """Candidate (a, b) classes of (grp, class, code)."""
+    tasks = _tasks(rows, ["class", "code"])
 
     def run(key, table):
         grp, one, two = (k.as_py() for k in key)
@@ -154,7 +223,7 @@ def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def similar_classes(df: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(members (id, class), links (a, b, cosine) between different vectors of a group, both at least ``threshold``)."""
+    """(members (id, class), links (a, b, cosine), both ways, between different vectors of a group with at least ``threshold``)."""
     scratch = Scratch(df.sparkSession, "vectors")
     rows = scratch.write(_projected(usable(df.select("id", "grp", "embedding"), dim), dim), "projected")
     members = rows.select("id", "class").distinct()
@@ -174,19 +243,26 @@ def similar_classes(df: DataFrame, dim: int, threshold: float) -> tuple[DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok), pa.array(np.minimum(cos, 1.0)).take(ok)], names=["a", "b", "cosine"])
 
     links = scratch.write(both.select("a", "b", "va", "vb").mapInArrow(verify, "a binary, b binary, cosine double"), "links")
-    return members, links
+    return members, links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
+
+
+def nearest_classes(df: DataFrame, k: int, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(members (id, class), links (a, b, cosine)): the links hold at least the ``k`` most similar other vectors b of each a, however far."""
+    scratch = Scratch(df.sparkSession, "vectors")
+    rows = scratch.write(_projected(usable(df.select("id", "grp", "embedding"), dim), dim).drop("code"), "projected")
+    heads = rows.groupBy("grp", "class").agg(F.min("id").alias("id"), F.first("embedding").alias("embedding"))
+    return rows.select("id", "class").distinct(), scratch.write(_block_nearest(heads, k, dim), "links")
 
 
-def neighbours(df: DataFrame, k: int = 5, threshold: float = 0.9, dim: int = 64) -> DataFrame:
-    """(id, neighbour_id, cosine, rank): up to ``k`` most similar rows of the same group with at least ``threshold``.
+def neighbours(df: DataFrame, k: int = 5, threshold: float | None = None, dim: int = 64) -> DataFrame:
+    """(id, neighbour_id, cosine, rank): the ``k`` most similar rows of the same group, all there are if fewer.
 
-    ``df`` has id, grp and embedding.
+    ``df`` has id, grp and embedding. With a ``threshold`` only rows of at least that cosine are listed.
     """
-    members, links = similar_classes(df, dim, threshold)
+    members, directed = nearest_classes(df, k, dim) if threshold is None else similar_classes(df, dim, threshold)
     order = Window.partitionBy("class").orderBy("id")
     # No member needs more than k + 1 ids of any one class.
     heads = members.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("class", "id")
-    directed = links.select("a", "b", "cosine").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
     near = directed.join(heads.select(F.col("class").alias("b"), F.col("id").alias("neighbour_id")), "b").select(F.col("a").alias("class"), "neighbour_id", "cosine")
     many = members.groupBy("class").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("class")
     own = heads.join(many, "class", "left_semi").select("class", F.col("id").alias("neighbour_id"), F.lit(1.0).alias("cosine"))

@@ -145,3 +145,21 @@ def test_unusable_vectors_ties_and_empty(spark):
     near = sv.neighbours(copies)
     assert near.count() == 200 and {r.neighbour_id for r in near.filter("id = 'c39'").collect()} == {"c00", "c01", "c02", "c03", "c04"}
     assert sv.similar_pairs(df.limit(0)).count() == 0
+
+
+def test_neighbours_without_a_threshold_are_all_found(spark, monkeypatch):
+    v = np.random.default_rng(5).standard_normal((150, 64)).astype(np.float32)
+    v[7] = v[8] = v[9]
+    groups = ["pair" if k < 2 else f"g{k % 2}" for k in range(150)]
+    x = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    cos = np.minimum(x @ x.T, 1.0).round(9)
+    want = {}
+    for i in range(150):
+        want[f"i{i:03d}"] = [f"i{j:03d}" for j in sorted((j for j in range(150) if j != i and groups[i] == groups[j]), key=lambda j: (-cos[i, j], j))[:5]]
+    df = spark.createDataFrame([(f"i{k:03d}", groups[k], v[k].tolist()) for k in range(150)], "id string, grp string, embedding array<float>")
+    for block in (2048, 32):
+        monkeypatch.setattr(sv, "BLOCK", block)
+        got = {}
+        for r in sorted(sv.neighbours(df).collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.id, []).append(r.neighbour_id)
+        assert got == want
