@@ -348,13 +348,25 @@ SQL["bfs_depth2"] = f"""WITH {_SYM}, tg AS (SELECT id FROM s WHERE lower(kind) =
             QUALIFY row_number() OVER (PARTITION BY target_id, other_id ORDER BY {_PRI}, {_CONF} DESC, edge_type, path, via) = 1)"""
 
 
-@_q
-def dependency_closure(t: Tables):
-    """Modules each repository reaches over INJECTS edges between files of different modules."""
+def _module_links(t: Tables):
+    """(a, b): different modules with an EXTENDS or IMPLEMENTS edge from a symbol of a to one of b."""
     s = G.placed_symbols(t.symbols).join(G.one_file(t.files), "file").select("id", "module").filter("module <> ''")
     e = G.distinct_edges(t.edges).filter("edge_type in ('EXTENDS', 'IMPLEMENTS')")
     m = e.join(s.select(F.col("id").alias("caller_symbol_id"), F.col("module").alias("a")), "caller_symbol_id").join(s.select(F.col("id").alias("callee_symbol_id"), F.col("module").alias("b")), "callee_symbol_id")
-    m = m.filter("a < b").select("a", "b").distinct()
+    return m.filter("a <> b").select("a", "b").distinct()
+
+
+@_q
+def dependency_closure(t: Tables):
+    """Modules each module reaches over EXTENDS and IMPLEMENTS edges that lead to an alphabetically later module (as its SQL; all of them: dependency_closure_all)."""
+    m = _module_links(t).filter("a < b")
+    return G.closure(m, m.select(F.col("a").alias("id")).distinct(), "a", "b")
+
+
+@_q
+def dependency_closure_all(t: Tables):
+    """Modules each module reaches over EXTENDS and IMPLEMENTS edges between files of different modules, in whichever order and through cycles."""
+    m = _module_links(t)
     return G.closure(m, m.select(F.col("a").alias("id")).distinct(), "a", "b")
 
 
