@@ -2,21 +2,21 @@
 
 Each vector is projected on PROJECTIONS random lines. On each line a query looks at the window around
 its own value; vectors that fall into the windows of at least a share of the lines collide often enough
-to be verified. Windows grow by virtual rehashing: the radii RADII widen them step by step, and a query
-stops at the first radius at which it has ENOUGH collided vectors of a block.
+to be verified. All pairs that collide at the last radius are verified and the ``k`` best of each row are kept, so
+narrower radii would add nothing and no count of candidates ends a search.
 
 How it runs: values are quantised to one byte per line, so a window is a range of byte values and counting
 is a byte comparison; no bucket table is built and none can overflow. A group (repository) is cut into
 blocks of at most BLOCK rows; each pair of blocks is one small task of fixed size, also when one group
-holds a third of all rows. Only the projections travel to the blocks (PROJECTIONS bytes a row); the
-vectors themselves meet only for verified candidates. Exact copies form one class first, so a group of
+holds a third of all rows. Vectors travel to the blocks with their projections and are verified there, so a
+dense group hands on ``k`` rows of each vector and pair of blocks, not its candidates. Exact copies form one class first, so a group of
 copies is one row and expands to at most ``k`` neighbours per member.
 
 Accuracy: with the 40 lines and the largest window, a pair at the similarity threshold collides often enough with a
 probability above 0.999 (binomial over the lines); unrelated pairs pass with about 1e-4 and are then verified exactly.
 
 Without a threshold no radius is wide enough for all queries (on sf0.1 most have no vector at 0.9), so
-``neighbours`` then scans the pairs of blocks exactly and keeps the ``k`` best of each row in each; here the vectors travel.
+``neighbours`` then scans the pairs of blocks exactly.
 
 Defined results: embeddings that are null, of another length, with null, NaN or infinite values or all
 zero take no part; repeated rows count once; a row of a null group takes no part; a vector is not its own
@@ -38,7 +38,6 @@ PROJECTIONS = 40
 BLOCK = 4096
 #: Queries of a block that are counted at a time.
 STRIP = 128
-ENOUGH = 64
 #: More than the error of a single-precision cosine of unit vectors.
 ERROR = 1e-5
 #: Windows reach this many times the radius to each side (the projections have unit variance).
@@ -53,19 +52,17 @@ def directions(dim: int, seed: int = 42) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, PROJECTIONS))
 
 
-def radii(threshold: float) -> tuple[float, ...]:
-    """Radii of virtual rehashing, up to the distance of two unit vectors at the threshold."""
-    last = float(np.sqrt(2 - 2 * threshold))
-    return last / 4, last / 2, last * 0.75, last
+def radius(threshold: float) -> float:
+    """The last radius of virtual rehashing: the distance of two unit vectors at the threshold."""
+    return float(np.sqrt(2 - 2 * threshold))
 
 
-def collide(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two blocks of quantised projections [lines, rows] that collide often enough."""
+def collide(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """[rows of a, rows of b]: do the quantised projections [lines, rows] collide often enough at the last radius?"""
     need = int(np.ceil(SHARE * PROJECTIONS))
-    steps = [max(1, int(np.ceil(r * REACH * STEPS))) for r in radii(threshold)]
-    wide = steps[-1]
+    wide = max(1, int(np.ceil(radius(threshold) * REACH * STEPS)))
     shifted = a + np.uint8(wide)
-    found_i, found_j = [], []
+    found = np.zeros((a.shape[1], b.shape[1]), bool)
     # Strips of queries keep the counters in the processor's cache.
     for at in range(0, a.shape[1], STRIP):
         x = shifted[:, at : at + STRIP]
@@ -76,31 +73,8 @@ def collide(a: np.ndarray, b: np.ndarray, threshold: float, same: bool) -> tuple
             np.subtract(x[k][:, None], b[k][None], out=off)
             np.less_equal(off, np.uint8(2 * wide), out=near)
             np.add(counts, near.view(np.uint8), out=counts)
-        i, j = np.nonzero(counts >= need)
-        found_i.append(i + at)
-        found_j.append(j)
-    i, j = (np.concatenate(f) if f else np.empty(0, np.int64) for f in (found_i, found_j))
-    if same:
-        i, j = i[i < j], j[i < j]
-    if not len(i):
-        return i, j
-    gap = np.abs(a[:, i].astype(np.int16) - b[:, j].astype(np.int16))
-    level = np.full(len(i), len(steps) - 1)
-    for r in range(len(steps) - 2, -1, -1):
-        level[(gap <= steps[r]).sum(0) >= need] = r
-    keep = np.zeros(len(i), bool)
-    ends = (i, j) if not same else (np.concatenate([i, j]),)
-    for side in ends:
-        lv = level if not same else np.concatenate([level, level])
-        order = np.lexsort((lv, side))
-        s = side[order]
-        first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        size = np.diff(np.append(first, len(s)))
-        limit = lv[order][first + np.minimum(size, ENOUGH) - 1]  # the radius at which the query has enough
-        ok = np.empty(len(s), bool)
-        ok[order] = lv[order] <= np.repeat(limit, size)
-        keep |= ok if not same else ok[: len(i)] | ok[len(i) :]
-    return i[keep], j[keep]
+        np.greater_equal(counts, need, out=found[at : at + STRIP])
+    return found
 
 
 def usable(df: DataFrame, dim: int) -> DataFrame:
@@ -177,12 +151,13 @@ def nearest(x: np.ndarray, y: np.ndarray, order: np.ndarray, k: int, threshold:
     return tuple(np.concatenate(z) for z in zip(*out)) if out else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
-def _block_nearest(rows: DataFrame, k: int, dim: int) -> DataFrame:
-    """(a, b, cosine): the ``k`` most similar classes b of each class a within each pair of blocks, by an exact scan.
+def _block_nearest(rows: DataFrame, k: int, dim: int, threshold: float | None) -> DataFrame:
+    """(a, b, cosine): the ``k`` most similar classes b of each class a within each pair of blocks.
 
-    ``rows`` has grp, class, id (the smallest of the class) and embedding.
+    With a threshold all that collide are verified, without one the blocks are scanned. ``rows`` has grp, class,
+    id (the smallest of the class), embedding and, with a threshold, code.
     """
-    tasks = _tasks(rows, ["class", "id", "embedding"])
+    tasks = _tasks(rows, [c for c in rows.columns if c != "grp"])
 
     def run(key, table):
         _, one, two = (x.as_py() for x in key)
@@ -191,10 +166,16 @@ def _block_nearest(rows: DataFrame, k: int, dim: int) -> DataFrame:
         order = np.empty(len(ids), np.int64)
         order[sorted(range(len(ids)), key=ids.__getitem__)] = np.arange(len(ids))
         v = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        at, bt = np.flatnonzero(block == one), np.flatnonzero(block == two)
+        mask = None
+        if threshold is not None:
+            codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, PROJECTIONS)
+            mask = collide(np.ascontiguousarray(codes[at].T), np.ascontiguousarray(codes[bt].T), threshold)
         a, b, c = [], [], []
-        for p, q in {(one, two), (two, one)}:
-            at, bt = np.flatnonzero(block == p), np.flatnonzero(block == q)
-            i, j, cos = nearest(v[at], v[bt], order[bt], k, None, p == q)
+        for turned in (False,) if one == two else (False, True):
+            if turned:
+                at, bt, mask = bt, at, None if mask is None else mask.T
+            i, j, cos = nearest(v[at], v[bt], order[bt], k, threshold, one == two, mask)
             a += [cls[m] for m in at[i].tolist()]
             b += [cls[m] for m in bt[j].tolist()]
             c.append(cos)
@@ -203,55 +184,13 @@ def _block_nearest(rows: DataFrame, k: int, dim: int) -> DataFrame:
     return tasks.groupBy("grp", "one", "two").applyInArrow(run, "a binary, b binary, cosine double")
 
 
-def _block_pairs(rows: DataFrame, threshold: float) -> DataFrame:
-    """Candidate (a, b) classes of (grp, class, code)."""
-    tasks = _tasks(rows, ["class", "code"])
-
-    def run(key, table):
-        grp, one, two = (k.as_py() for k in key)
-        block = table.column("block").to_numpy()
-        cls = table.column("class").to_pylist()
-        codes = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, PROJECTIONS)
-        at, bt = np.flatnonzero(block == one), np.flatnonzero(block == two)
-        i, j = collide(np.ascontiguousarray(codes[at].T), np.ascontiguousarray(codes[bt].T), threshold, one == two)
-        out = [(cls[m], cls[n]) for m, n in zip(at[i].tolist(), bt[j].tolist())]
-        a, b = zip(*out) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    # Small groups are packed into few tasks by the shuffle; each function call sees one pair of blocks.
-    return tasks.groupBy("grp", "one", "two").applyInArrow(run, "a binary, b binary")
-
-
-def similar_classes(df: DataFrame, dim: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(members (id, class), links (a, b, cosine), both ways, between different vectors of a group with at least ``threshold``)."""
-    scratch = Scratch(df.sparkSession, "vectors")
-    rows = scratch.write(_projected(usable(df.select("id", "grp", "embedding"), dim), dim), "projected")
-    members = rows.select("id", "class").distinct()
-    heads = rows.groupBy("grp", "class").agg(F.first("code").alias("code"))
-    pairs = scratch.write(_block_pairs(heads, threshold), "pairs")
-    need = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    vectors = scratch.write(rows.join(need, "class", "left_semi").groupBy("class").agg(F.first("embedding").alias("v")), "vectors")
-    both = pairs.join(vectors.select(F.col("class").alias("a"), F.col("v").alias("va")), "a").join(vectors.select(F.col("class").alias("b"), F.col("v").alias("vb")), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (batch.column(k).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) for k in (2, 3))
-            cos = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            ok = pa.array(np.flatnonzero(cos >= threshold))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok), pa.array(np.minimum(cos, 1.0)).take(ok)], names=["a", "b", "cosine"])
-
-    links = scratch.write(both.select("a", "b", "va", "vb").mapInArrow(verify, "a binary, b binary, cosine double"), "links")
-    return members, links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "cosine"))
-
-
-def nearest_classes(df: DataFrame, k: int, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(members (id, class), links (a, b, cosine)): the links hold at least the ``k`` most similar other vectors b of each a, however far."""
+def nearest_classes(df: DataFrame, k: int, dim: int, threshold: float | None) -> tuple[DataFrame, DataFrame]:
+    """(members (id, class), links (a, b, cosine)): the links hold at least the ``k`` most similar other vectors b of each a, from ``threshold`` on if given."""
     scratch = Scratch(df.sparkSession, "vectors")
-    rows = scratch.write(_projected(usable(df.select("id", "grp", "embedding"), dim), dim).drop("code"), "projected")
-    heads = rows.groupBy("grp", "class").agg(F.min("id").alias("id"), F.first("embedding").alias("embedding"))
-    return rows.select("id", "class").distinct(), scratch.write(_block_nearest(heads, k, dim), "links")
+    rows = _projected(usable(df.select("id", "grp", "embedding"), dim), dim)
+    rows = scratch.write(rows.drop("code") if threshold is None else rows, "projected")
+    heads = rows.groupBy("grp", "class").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in rows.columns if c in ("code", "embedding")])
+    return rows.select("id", "class").distinct(), scratch.write(_block_nearest(heads, k, dim, threshold), "links")
 
 
 def neighbours(df: DataFrame, k: int = 5, threshold: float | None = None, dim: int = 64) -> DataFrame:
@@ -259,7 +198,7 @@ def neighbours(df: DataFrame, k: int = 5, threshold: float | None = None, dim: i
 
     ``df`` has id, grp and embedding. With a ``threshold`` only rows of at least that cosine are listed.
     """
-    members, directed = nearest_classes(df, k, dim) if threshold is None else similar_classes(df, dim, threshold)
+    members, directed = nearest_classes(df, k, dim, threshold)
     order = Window.partitionBy("class").orderBy("id")
     # No member needs more than k + 1 ids of any one class.
     heads = members.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k + 1).select("class", "id")

@@ -163,3 +163,17 @@ def test_neighbours_without_a_threshold_are_all_found(spark, monkeypatch):
         for r in sorted(sv.neighbours(df).collect(), key=lambda r: r["rank"]):
             got.setdefault(r.id, []).append(r.neighbour_id)
         assert got == want
+
+
+def test_dense_group_keeps_its_nearest(spark):
+    rng = np.random.default_rng(11)
+    v = rng.standard_normal(64) + rng.standard_normal((2000, 64)) * 0.2
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    x = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    cos = x @ x.T
+    np.fill_diagonal(cos, -1)
+    assert np.median(cos) > 0.95
+    want = {(min(i, j), max(i, j)) for i in range(2000) for j in np.argsort(-cos[i])[:5].tolist()}
+    df = spark.createDataFrame([(f"i{k:04d}", "g", v[k].tolist()) for k in range(2000)], "id string, grp string, embedding array<float>")
+    got = {(int(r.id_a[1:]), int(r.id_b[1:])) for r in sv.similar_pairs(df).collect()}
+    assert got == want
