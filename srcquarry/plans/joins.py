@@ -333,11 +333,17 @@ SQL["edge_type_cap"] = f"""WITH {_SYM}, x AS (SELECT *, {_PRI} AS pri FROM e WHE
 
 @_q
 def bfs_depth2(t: Tables):
-    """Everything within two outgoing edges of each constructor, with the best path."""
+    """Everything within two outgoing edges of each constructor, with the best path (as its SQL; every symbol: bfs_depth2_all)."""
     targets = G.placed_symbols(t.symbols).filter("lower(kind) = 'constructor'")
     return G.expand(t.edges, targets, "java_unit", 2).select("target_id", "other_id", "depth", "edge_type", "path")
 
 
+@_q
+def bfs_depth2_all(t: Tables):
+    """Everything within two outgoing edges of each symbol, with the best path."""
+    return G.expand(t.edges, G.placed_symbols(t.symbols), "java_unit", 2).select("target_id", "other_id", "depth", "edge_type", "path")
+
+
 _CONF = "CASE WHEN edge_type IN ('CALLS','INJECTS','INJECTS_NAMED','ROUTE_TO_HANDLER','HANDLER_USES_DTO','USES_GUARD','USES_PIPE','USES_INTERCEPTOR','TARGETS_API_ROUTE','CALLS_API','USES_SELECTOR','RENDERS','USES_HOOK','ACCEPTS_PROPS_TYPE','IMPLEMENTS_SERVICE','REGISTERS_SERVICE') THEN 3 WHEN edge_type IN ('IMPORTS','DEPENDS_ON','DEPENDS_ON_DEV','PACKAGE_MAIN','PACKAGE_MODULE','PACKAGE_EXPORT','PACKAGE_ENTRY','PACKAGE_BIN') THEN 1 ELSE 2 END"
 SQL["bfs_depth2"] = f"""WITH {_SYM}, tg AS (SELECT id FROM s WHERE lower(kind) = 'constructor'),
     one AS (SELECT tg.id AS target_id, callee_symbol_id AS other_id, 1 AS depth, edge_type, edge_type AS path FROM tg JOIN e ON caller_symbol_id = tg.id WHERE callee_symbol_id <> tg.id

@@ -354,11 +354,17 @@ SQL["container_siblings"] = """WITH c AS (SELECT DISTINCT id, symbol_id, parent_
 
 @_q
 def retrieval_bundle(t: Tables):
-    """Context of every constructor in one long table: target, container, dependencies, siblings, tests."""
+    """Context of every constructor in one long table: target, container, dependencies, chunks, tests (as its SQL; every symbol: retrieval_bundle_all)."""
     targets = G.placed_symbols(t.symbols).filter("lower(kind) = 'constructor'").select("id")
     return B.bundle(targets, t.symbols, t.edges, t.chunks)
 
 
+@_q
+def retrieval_bundle_all(t: Tables):
+    """Context of every symbol in one long table: target, container, dependencies, chunks, tests."""
+    return B.bundle(t.symbols.select("id").filter("id is not null"), t.symbols, t.edges, t.chunks)
+
+
 SQL["retrieval_bundle"] = f"""WITH {_CONT}, tg AS (SELECT id FROM s WHERE lower(kind) = 'constructor'),
     dep AS (SELECT tg.id AS target_id, callee_symbol_id AS item_id, CAST(row_number() OVER (PARTITION BY tg.id ORDER BY over_cap, pri, edge_type, callee_symbol_id) AS INT) AS rank FROM (
         SELECT *, CAST(row_number() OVER (PARTITION BY caller_symbol_id, edge_type ORDER BY pri, callee_symbol_id) > 7 AS INT) AS over_cap FROM (

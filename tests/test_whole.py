@@ -18,3 +18,16 @@ def test_dependency_closure_takes_links_both_ways_and_ends_on_cycles(spark, tmp_
     put(spark, tmp_path, "edges", [(f"s{x}", f"s{y}", k) for x, y, k in links], EDGE)
     got = sorted((r.start, r.node) for r in QUERIES["dependency_closure_all"](spark, str(tmp_path)).collect())
     assert got == sorted([(x, y) for x in "abc" for y in "abc"] + [("d", y) for y in "abcd"])
+
+
+def test_expansion_and_bundles_take_every_symbol(spark, tmp_path):
+    kinds = {"a": "class", "b": "Method", "c": "constructor", "d": "function"}
+    put(spark, tmp_path, "symbols", [(x, "java", k, f"p.{x}", "f.java", *((1, 9) if x == "a" else (3, 3)), None) for x, k in kinds.items()], SYMBOL)
+    put(spark, tmp_path, "edges", [("a", "b", "CONTAINS"), ("b", "c", "CALLS"), ("c", "d", "CALLS"), ("d", "a", "TESTS_SOURCE")], EDGE)
+    put(spark, tmp_path, "chunks", [(f"k{x}", x) for x in "abd"], "id string, symbol_id string")
+    ring = {"a": "b", "b": "c", "c": "d", "d": "a"}
+    got = sorted((r.target_id, r.other_id, r.depth) for r in QUERIES["bfs_depth2_all"](spark, str(tmp_path)).collect())
+    assert got == sorted([(x, ring[x], 1) for x in ring] + [(x, ring[ring[x]], 2) for x in ring])
+    got = sorted((r.target_id, r.section, r.item_id) for r in QUERIES["retrieval_bundle_all"](spark, str(tmp_path)).collect())
+    want = [(x, "target", x) for x in kinds] + [(x, "container", "a") for x in "bcd"] + [(x, "dependency", ring[x]) for x in ring] + [(x, "chunk", f"k{x}") for x in "abd"] + [("a", "test", "d")]
+    assert got == sorted(want)
