@@ -221,15 +221,26 @@ SQL["import_suffix_resolution"] = r"""
     FROM i JOIN s ON import_name = s.fq_name OR starts_with(import_name, s.fq_name || '.') WHERE import_name <> '' GROUP BY 1"""
 
 
-@_q
-def type_name_resolution(t: Tables):
-    """Types named in signatures to symbols: exact name, same package, then any package (at most eight)."""
+def _type_names(t: Tables, prefix: str):
+    """Types named in signatures, and declared names that start with ``prefix``, to symbols."""
     s = G.placed_symbols(t.symbols).withColumn("type", F.get_json_object("signature_json", "$.type"))
     names = s.select(F.explode(X.signature_types("type")).alias("name"), F.regexp_replace("fq_name", r"\.[^.]*$", "").alias("module")).filter("module is not null")
-    declared = s.filter("fq_name is not null").select(F.regexp_extract("fq_name", r"([^.#]*)$", 1).alias("name"), F.lit("com").alias("module")).filter(F.col("name").startswith("Fresh"))
+    declared = s.filter("fq_name is not null").select(F.regexp_extract("fq_name", r"([^.#]*)$", 1).alias("name"), F.lit("com").alias("module")).filter(F.col("name").startswith(prefix))
     return G.resolve_names(names.unionByName(declared), t.symbols).select("name", "module", "id", "step")
 
 
+@_q
+def type_name_resolution(t: Tables):
+    """Types named in signatures, and declared names that start with 'Fresh', to symbols: exact name, same package, then any package, at most eight (as its SQL; every declared name: type_name_resolution_all)."""
+    return _type_names(t, "Fresh")
+
+
+@_q
+def type_name_resolution_all(t: Tables):
+    """Types named in signatures and all declared names to symbols: exact name, same package, then any package (at most eight)."""
+    return _type_names(t, "")
+
+
 SQL["type_name_resolution"] = f"""WITH {_SYM},
     k AS (SELECT id, fq_name, regexp_extract(fq_name, '([^.#]*)$', 1) AS simple FROM s WHERE lower(kind) IN ('class', 'interface', 'enum', 'record', 'struct')),
     x AS (SELECT DISTINCT unnest(regexp_extract_all(CASE WHEN json_valid(signature_json) THEN json_extract_string(signature_json, '$.type') END, '\\b([A-Z][a-zA-Z0-9]*(?:\\.[A-Za-z0-9]+)*)\\b')) AS name,

@@ -16,12 +16,25 @@ _q = query(QUERIES)
 TYPE_KINDS = ["class", "interface", "enum", "record", "struct", "type", "type_alias", "trait"]
 
 
+def _by_simple_name(s):
+    hits = s.select("simple", "id", "fq_name", "file").distinct()
+    return R.top_per_group(hits, ["simple"], [F.length("fq_name"), F.col("fq_name"), F.col("id")], 20).select("simple", "id", "fq_name", "rank")
+
+
+def _typed(t: Tables):
+    return t.symbols.filter(F.lower("kind").isin(TYPE_KINDS)).withColumn("simple", X.simple_name("fq_name")).filter("simple is not null")
+
+
 @_q
 def symbols_by_simple_name(t: Tables):
-    """Type symbols named X in any package, shortest name first (bulk form: every name that starts with 'Fresh')."""
-    s = t.symbols.filter(F.lower("kind").isin(TYPE_KINDS)).withColumn("simple", X.simple_name("fq_name"))
-    hits = s.filter(F.col("simple").startswith("Fresh")).select("simple", "id", "fq_name", "file").distinct()
-    return R.top_per_group(hits, ["simple"], [F.length("fq_name"), F.col("fq_name"), F.col("id")], 20).select("simple", "id", "fq_name", "rank")
+    """Type symbols named X in any package, shortest name first, for the names that start with 'Fresh' (as its SQL; every name: symbols_by_simple_name_all)."""
+    return _by_simple_name(_typed(t).filter(F.col("simple").startswith("Fresh")))
+
+
+@_q
+def symbols_by_simple_name_all(t: Tables):
+    """Type symbols of every simple name in any package, shortest name first, twenty at most of a name."""
+    return _by_simple_name(_typed(t))
 
 
 SQL["symbols_by_simple_name"] = """

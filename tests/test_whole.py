@@ -31,3 +31,12 @@ def test_expansion_and_bundles_take_every_symbol(spark, tmp_path):
     got = sorted((r.target_id, r.section, r.item_id) for r in QUERIES["retrieval_bundle_all"](spark, str(tmp_path)).collect())
     want = [(x, "target", x) for x in kinds] + [(x, "container", "a") for x in "bcd"] + [(x, "dependency", ring[x]) for x in ring] + [(x, "chunk", f"k{x}") for x in "abd"] + [("a", "test", "d")]
     assert got == sorted(want)
+
+
+def test_names_without_a_prefix_are_looked_up(spark, tmp_path):
+    rows = [(f"w{k:02d}", "java", "class", f"p{k:02d}.Widget", "f.java", 1, 2, None) for k in range(25)] + [("x", "java", "enum", "q.Fresh", "f.java", 1, 2, None), ("m", "java", "method", "q.Fresh#Other", "f.java", 1, 1, None), ("n", "java", "class", None, "f.java", 1, 1, None)]
+    put(spark, tmp_path, "symbols", rows, SYMBOL)
+    got = sorted((r.simple, r.id, r["rank"]) for r in QUERIES["symbols_by_simple_name_all"](spark, str(tmp_path)).collect())
+    assert got == [("Fresh", "x", 1)] + [("Widget", f"w{k:02d}", k + 1) for k in range(20)]
+    got = sorted(tuple(r) for r in QUERIES["type_name_resolution_all"](spark, str(tmp_path)).select("name", "module", "id", "step").collect())
+    assert got == [("Fresh", "com", "x", 3)] + [("Widget", "com", f"w{k:02d}", 3) for k in range(8)]
