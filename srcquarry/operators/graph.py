@@ -9,6 +9,8 @@ from srcquarry.operators.rows import latest
 
 #: Priority of an edge type for unit contexts (lower comes first), 6 for all others.
 UNIT_PRIORITY = {"CALLS": 0, "INJECTS": 1, "INJECTS_NAMED": 1, "IMPLEMENTS_SERVICE": 1, "EXTENDS": 2, "REGISTERS_SERVICE": 2, "IMPLEMENTS": 3, "CONTAINS": 4, "IMPORTS": 5}
+#: Fixed value: links followed between C# projects.
+PROJECT_DEPTH = 32
 #: Priorities by profile, 100 for all other types; a pair is (reached against the edge, along it).
 PROFILE_PRIORITY: dict[str, dict[str, int | tuple[int, int]]] = {
     "http_api": {
@@ -206,20 +208,24 @@ def expand(edges: DataFrame, targets: DataFrame, name: str = "java_unit", depth:
     return found
 
 
-def closure(edges: DataFrame, start: DataFrame, a: str, b: str, rounds: int = 32) -> DataFrame:
-    """(start, node): everything reached from each start, by rounds to a fixpoint; each round is written and cut."""
+def closure(edges: DataFrame, start: DataFrame, a: str, b: str, depth: int | None = None) -> DataFrame:
+    """(start, node): everything reached from each start, by rounds to the fixpoint, or up to ``depth`` links; each round is written and cut.
+
+    References between C# projects are bounded: ``depth=PROJECT_DEPTH``.
+    """
     from srcquarry.runtime import Scratch
 
     scratch = Scratch(edges.sparkSession, "closure")
     step = edges.select(F.col(a).alias("node"), F.col(b).alias("next")).distinct()
     front, n = scratch.write_counted(start.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct(), "reached/r=0")
     k = 0
-    while n and k < rounds:
+    while n and (depth is None or k < depth):
         k += 1
         new = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
         known = scratch.read("reached", front.schema).drop("r")
         front, n = scratch.write_counted(new.join(known, ["start", "node"], "left_anti"), f"reached/r={k}")
-    return scratch.read("reached", front.schema).drop("r").distinct()
+    # Rounds are distinct and do not overlap.
+    return scratch.read("reached", front.schema).drop("r")
 
 
 def link_routes(symbols: DataFrame, route_key, client_key) -> DataFrame:

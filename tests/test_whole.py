@@ -1,5 +1,6 @@
 """Queries over whole tables without SQL, against plain Python on small fixtures."""
 
+from srcquarry.operators.graph import closure
 from srcquarry.plans import registry
 
 QUERIES = registry()[0]
@@ -40,3 +41,10 @@ def test_names_without_a_prefix_are_looked_up(spark, tmp_path):
     assert got == [("Fresh", "x", 1)] + [("Widget", f"w{k:02d}", k + 1) for k in range(20)]
     got = sorted(tuple(r) for r in QUERIES["type_name_resolution_all"](spark, str(tmp_path)).select("name", "module", "id", "step").collect())
     assert got == [("Fresh", "com", "x", 3)] + [("Widget", "com", f"w{k:02d}", 3) for k in range(8)]
+
+
+def test_closure_reaches_the_end_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(f"n{k:02d}", f"n{k + 1:02d}") for k in range(36)], "x string, y string")
+    start = spark.createDataFrame([("n00",)], "id string")
+    assert sorted(r.node for r in closure(chain, start, "x", "y").collect()) == [f"n{k:02d}" for k in range(37)]
+    assert closure(chain, start, "x", "y", depth=3).count() == 4
