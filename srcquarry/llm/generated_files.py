@@ -67,12 +67,15 @@ FEATURES = (
 
 
 def has_notice(text: str) -> bool:
-    """Does the header, an annotation in the first lines or the last line carry a notice?"""
-    head = text[: HEADER.match(text).end()][:4000]
+    """Does the header, an annotation or the last line carry a notice?"""
+    end = HEADER.match(text).end()
+    body = text[end:]
+    # Without blank lines, as a search across a long run of them would not be linear.
+    head = "\n".join(x for x in text[:end].split("\n") if x.strip()) + "\n"
     # Some tools put the notice below the first line of code.
-    head += "\n".join(x for x in text[len(head) :][:1500].split("\n")[:6] if x.lstrip().startswith(("//", "/*", "*", "<!--")))
-    first = "\n".join(x for x in text[len(head) : len(head) + 3000].split("\n")[:30] if "@" in x and "Generated" in x)
-    last = text.rstrip()[-200:].rsplit("\n", 1)[-1]
+    head += "\n".join(x for x in body[:1500].split("\n")[:6] if x.lstrip().startswith(("//", "/*", "*", "<!--")))
+    first = "\n".join(x for x in body.split("\n") if "@" in x and "Generated" in x)
+    last = text.rstrip().rsplit("\n", 1)[-1]
     last = last if "sourceMappingURL" in last else ""
     seen = f"{head}\n{first}\n{last}"
     return bool(NOTICE.search(seen) or UPPER_NOTICE.search(seen))
@@ -84,7 +87,7 @@ def without_notice(text: str) -> str:
     top, rest = body[:1500], body[1500:]
     lines = top.split("\n")
     lines[:6] = [x for x in lines[:6] if not (x.lstrip().startswith(("//", "/*", "*", "<!--")) and (NOTICE.search(x) or UPPER_NOTICE.search(x)))]
-    return re.sub(r"(?m)^[^\n]*(?:@[\w.]*Generated\s*\(|sourceMappingURL=)[^\n]{0,400}$\n?", "", "\n".join(lines) + rest)
+    return re.sub(r"(?m)^[^\n]*(?:@[\w.]*Generated\s*\(|sourceMappingURL=)[^\n]*$\n?", "", "\n".join(lines) + rest)
 
 
 def name_parts(path: str) -> list[str]:

@@ -159,3 +159,15 @@ def test_mix_of_nothing(spark):
     one = mixing.Mix(spark.createDataFrame([(1, "x y z", "a", 1, 1), (2, "q r", "b", 1, 1)], DOC), targets)
     assert {x.source for x in one.plan.collect()} <= {"a"}
     assert mixing.Mix(spark.createDataFrame([(1, "x", "a", 1, 1)], DOC), targets.limit(0)).shares().count() == 0
+
+
+def test_notices_are_searched_in_the_whole_header_all_lines_and_the_last_line():
+    from srcquarry.llm.generated_files import has_notice, without_notice
+
+    code = "class A {\n" + "".join(f"    int f{k};\n" for k in range(60)) + "}\n"
+    imports = "package p;\n" + "".join(f"import p.q.Some{k}LongName;\n" for k in range(200))
+    assert has_notice(imports + '@Generated("tool")\n' + code)
+    assert has_notice("/*\n" + " * Permission is granted to use this.\n" * 200 + " */\n// Code generated by tool. DO NOT EDIT.\n" + code)
+    mapped = code + "//# sourceMappingURL=data:application/json;base64," + "QUJD" * 300
+    assert has_notice(mapped) and "sourceMappingURL" not in without_notice(mapped)
+    assert not has_notice(imports + code)
