@@ -294,13 +294,21 @@ SQL["route_link"] = f"""WITH {_SYM}, r AS (SELECT DISTINCT caller_symbol_id AS r
 
 @_q
 def path_suffix_match(t: Tables):
-    """Paths of class records matched with scanned files: exact, then the path without its first parts, then a unique base name."""
+    """Paths of class records matched with scanned files: exact, then one the end of the other, then a unique base name."""
     c = t.class_records.select("file_path").filter("file_path is not null").distinct()
     raw = c.select("file_path", P.normal("file_path").alias("p"))
     f = t.files.select("file").distinct()
     base = f.select(F.regexp_extract("file", r"([^/]*)$", 1).alias("base"), "file").groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.min("file").alias("by_base")).filter("n = 1")
     exact = raw.join(f.select(F.col("file").alias("p")).withColumn("hit", F.lit(1)), "p", "left").withColumn("base", F.regexp_extract("p", r"([^/]*)$", 1))
-    return exact.join(base, "base", "left").select("file_path", F.when(F.col("hit").isNotNull(), F.col("p")).otherwise(F.col("by_base")).alias("file"), F.when(F.col("hit").isNotNull(), "exact").when(F.col("by_base").isNotNull(), "base name").otherwise("none").alias("how"))
+    # Either path may have more leading directories; the smallest file among several.
+    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.array_join(F.slice(F.split(c, "/"), n, F.size(F.split(c, "/"))), "/")))
+    paths, rest = f.filter("file <> ''"), exact.filter("hit is null and p <> ''").select("p").distinct()
+    longer = rest.select("p", ends("p").alias("file")).join(paths, "file").select("p", "file")
+    shorter = paths.select("file", ends("file").alias("p")).join(rest, "p").select("p", "file")
+    suffix = longer.union(shorter).groupBy("p").agg(F.min("file").alias("by_suffix"))
+    found = exact.join(suffix, "p", "left").join(base, "base", "left")
+    how = F.when(F.col("hit").isNotNull(), "exact").when(F.col("by_suffix").isNotNull(), "suffix").when(F.col("by_base").isNotNull(), "base name").otherwise("none")
+    return found.select("file_path", F.when(F.col("hit").isNotNull(), F.col("p")).otherwise(F.coalesce("by_suffix", "by_base")).alias("file"), how.alias("how"))
 
 
 SQL["path_suffix_match"] = r"""

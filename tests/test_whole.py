@@ -48,3 +48,13 @@ def test_closure_reaches_the_end_of_a_long_chain(spark):
     start = spark.createDataFrame([("n00",)], "id string")
     assert sorted(r.node for r in closure(chain, start, "x", "y").collect()) == [f"n{k:02d}" for k in range(37)]
     assert closure(chain, start, "x", "y", depth=3).count() == 4
+
+
+def test_paths_match_by_suffix_either_way(spark, tmp_path):
+    put(spark, tmp_path, "files", [(x,) for x in ("r/a/src/A.java", "r/b/src/A.java", "r/c/B.java")], "file string")
+    put(spark, tmp_path, "class_records", [(x,) for x in ("r/a/src/A.java", "b/src/A.java", "/home/ci/r/a/src/A.java", "x/B.java", "x/A.java", "src/A.java")], "file_path string")
+    got = {r.file_path: (r.file, r.how) for r in QUERIES["path_suffix_match"](spark, str(tmp_path)).collect()}
+    assert got == {
+        "r/a/src/A.java": ("r/a/src/A.java", "exact"), "b/src/A.java": ("r/b/src/A.java", "suffix"), "/home/ci/r/a/src/A.java": ("r/a/src/A.java", "suffix"),
+        "x/B.java": ("r/c/B.java", "base name"), "x/A.java": (None, "none"), "src/A.java": ("r/a/src/A.java", "suffix"),
+    }
