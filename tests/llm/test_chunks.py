@@ -177,3 +177,36 @@ def test_dense_group_keeps_its_nearest(spark):
     df = spark.createDataFrame([(f"i{k:04d}", "g", v[k].tolist()) for k in range(2000)], "id string, grp string, embedding array<float>")
     got = {(int(r.id_a[1:]), int(r.id_b[1:])) for r in sv.similar_pairs(df).collect()}
     assert got == want
+
+
+def test_large_groups_are_ranged(spark):
+    """A repository of several ranges: recall against brute force; what is compared grows less than with the square."""
+    rng = np.random.default_rng(4)
+    n = 24_000
+    v = rng.standard_normal((n, 64))
+    v[n // 2 :] = v[: n // 2] + rng.standard_normal((n // 2, 64)) * 0.35
+    v[:300] = v[0] + rng.standard_normal((300, 64)) * 0.2
+    v = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)
+    x = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    assert sv.route(n, 0.9)[0] > 0 and sv.route(5000, 0.9) == (0, 1)
+    want = set()
+    for at in range(0, n, 2000):
+        cos = x[at : at + 2000] @ x.T
+        cos[np.arange(len(cos)), np.arange(at, at + len(cos))] = -1
+        top = np.argpartition(-cos, 5, axis=1)[:, :5]
+        for i, row in enumerate(top):
+            want |= {(min(at + i, j), max(at + i, j)) for j in row.tolist() if cos[i, j] >= 0.9}
+    df = spark.createDataFrame([(f"i{k:05d}", "g", v[k].tolist()) for k in range(n)], "id string, grp string, embedding array<float>")
+    got = {(int(r.id_a[1:]), int(r.id_b[1:])) for r in sv.similar_pairs(df).collect()}
+    assert len(want) > 10_000 and len(got & want) >= 0.995 * len(want) and len(got - want) <= 0.005 * len(want)
+
+    def compared(rows):
+        unit = rng.standard_normal((rows, 64))
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        codes = (np.clip(np.rint(unit @ sv.directions(64) * sv.STEPS), -100, 100) + 128).astype(np.uint8)
+        keys = sv.ranges(codes, *sv.route(rows, 0.9), 0.9)
+        sizes = [np.unique(keys[:, k], return_counts=True)[1].astype(float) for k in range(keys.shape[1])]
+        return sum((s**2).sum() for s in sizes), max(s.max() for s in sizes)
+
+    (small, _), (large, most) = compared(25_000), compared(100_000)
+    assert large < 16 * 0.5 * small and large < 0.4 * 100_000**2 and most < 0.5 * 100_000
