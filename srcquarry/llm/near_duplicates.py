@@ -10,8 +10,9 @@
 4. Classes that share a sketch are candidates. A sketch shared by more than HOT classes emits no pairs;
    its classes go through an exact prefix-filter join instead (rarest shingles first), so no bucket is
    cut off and no group is paired with itself blindly.
-5. Candidates are verified by banded alignment of their token sequences, which bounds the similarity from
-   below, and by the exact similarity of the shingle sets.
+5. Candidates are verified by banded alignment of their token sequences: an edit changes at most three shingles
+   of either text, so few enough edits prove the similarity. The band of a pair is as wide as that number of
+   edits; only pairs with more edits than that (moved text, many edits) are decided by the exact shingle sets.
 
 Defined results: a null content, or one of fewer than three tokens, is in no pair; repeated rows count
 once; texts of any length are processed whole; extra columns are ignored; ids may be of any type that
@@ -33,7 +34,7 @@ from srcquarry.runtime import Scratch, spread
 
 LABELLED, FIRSTS = 12, 6  # sketches over all labelled shingles, over first occurrences
 HOT = 100  # classes per sketch above which its classes take the exact way
-BAND = 48  # tokens that an alignment may drift off the diagonal
+BAND = 48  # tokens that an alignment may drift off the diagonal at most
 SPAN = 500  # rows of a hot join key per salt
 
 _U = np.uint64
@@ -166,18 +167,18 @@ def _sketched(df: DataFrame) -> DataFrame:
 
 
 def _token_lists(df: DataFrame) -> DataFrame:
-    """(class, tokens) of (class, content): the token hashes in text order."""
+    """(class, n, tokens) of (class, n, content): the token hashes in text order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in batched(texts):
                 h, doc = token_hashes(texts[a:b])
                 ends = np.append(0, np.cumsum(np.bincount(doc, minlength=b - a))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["class", "tokens"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in (0, 1)), lists], names=["class", "n", "tokens"])
 
-    return df.mapInArrow(run, "class binary, tokens array<bigint>")
+    return df.mapInArrow(run, "class binary, n int, tokens array<bigint>")
 
 
 def salted_pairs(rows: DataFrame, key: str, low_share: float) -> DataFrame:
@@ -279,33 +280,48 @@ def set_similarity(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(1, np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - both)
 
 
+def allowed_edits(na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Token edits that still prove ``threshold`` for sets of ``na`` and ``nb`` shingles (negative: none do).
+
+    ``d`` edits leave at least max(na, nb) - 3 d shingles common, and c common shingles are a similarity of c / (na + nb - c).
+    """
+    common = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+    return np.floor((np.maximum(na, nb) - common) / 3).astype(np.int64)
+
+
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, jaccard, edit_similarity) of (a, b, ta, tb) with at least ``threshold``."""
+    """(a, b, edits) of (a, b, na, nb, ta, tb) with at least ``threshold``; edits is null where the sets had to decide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                jac = set_similarity(part.column(2), part.column(3))
-                keep = np.flatnonzero(jac >= threshold)
-                seqs = [[part.column(k)[i].values.to_numpy(zero_copy_only=False).view(_U) for i in keep.tolist()] for k in (2, 3)]
-                edit = np.empty(len(keep))
+                most = allowed_edits(*(part.column(k).to_numpy().astype(np.int64) for k in (2, 3)), threshold)
+                seqs = [[x.values.to_numpy(zero_copy_only=False).view(_U) for x in part.column(k)] for k in (4, 5)]
+                apart = np.array([abs(len(x) - len(y)) for x, y in zip(*seqs)])
+                size = np.array([max(len(x), len(y)) for x, y in zip(*seqs)])
+                band = np.minimum(most, BAND)
+                edits = np.full(part.num_rows, -1)
                 # Pairs of like length are aligned together; a long pair waits for no short one.
-                by = sorted(range(len(keep)), key=lambda i: len(seqs[0][i]))
-                group = max(1, min(64, 4_000_000 // (len(seqs[0][by[-1]]) + len(seqs[1][by[-1]]) + 1))) if by else 1
+                by = np.flatnonzero((band >= 0) & (apart <= band))
+                by = by[np.argsort(size[by], kind="stable")]
+                group = max(1, min(64, 4_000_000 // (2 * int(size[by[-1]]) + 1))) if len(by) else 1
                 for g in range(0, len(by), group):
                     own = by[g : g + group]
-                    x, y = ([seqs[s][i] for i in own] for s in (0, 1))
-                    longest = np.array([max(len(p), len(q)) for p, q in zip(x, y)])
-                    edit[own] = 1 - banded_distance(x, y) / longest
-                take = pa.array(keep)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(jac[keep]), pa.array(edit)], names=["a", "b", "jaccard", "edit_similarity"])
+                    d = banded_distance([seqs[0][i] for i in own], [seqs[1][i] for i in own], int(band[own].max()))
+                    edits[own] = np.where(d <= most[own], d, -1)
+                rest = np.flatnonzero(edits < 0)
+                keep = edits >= 0
+                if len(rest):
+                    keep[rest] = set_similarity(part.column(4).take(pa.array(rest)), part.column(5).take(pa.array(rest))) >= threshold
+                take = pa.array(np.flatnonzero(keep))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(edits[keep].astype(np.int32), mask=edits[keep] < 0)], names=["a", "b", "edits"])
 
-    return pairs.mapInArrow(run, "a binary, b binary, jaccard double, edit_similarity double")
+    return pairs.mapInArrow(run, "a binary, b binary, edits int")
 
 
 def near_duplicate_classes(df: DataFrame, threshold: float, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(members (id, class), pairs (a, b, jaccard, edit_similarity) of classes) of the texts of (id, content)."""
+    """(members (id, class), pairs (a, b, edits) of classes) of the texts of (id, content)."""
     scratch = Scratch(df.sparkSession, "near-dup")
     texts = df.select("id", "content").filter("content is not null")
     sketched = scratch.write(_sketched(texts), "sketched")
@@ -319,26 +335,30 @@ def near_duplicate_classes(df: DataFrame, threshold: float, hot: int = HOT) -> t
     in_hot = shared.filter(F.col("size") > hot).select("class").distinct()
     needed = candidates.select(F.col("a").alias("class")).union(candidates.select(F.col("b").alias("class")))
     needed = (needed.union(in_hot) if seen["hot"] else needed).distinct()
-    reps = needed.join(classes.select("class", "rep"), "class").select("class", F.col("rep").alias("id"))
-    one = texts.join(reps, "id").groupBy("class").agg(F.first("content").alias("content"))
+    reps = needed.join(classes.select("class", "n", "rep"), "class").select("class", "n", F.col("rep").alias("id"))
+    one = texts.join(reps, "id").groupBy("class").agg(F.first("n").alias("n"), F.first("content").alias("content"))
     tokens = scratch.write(_token_lists(one), "tokens")
     if seen["hot"]:
-        candidates = candidates.union(_exact_pairs(tokens.join(in_hot, "class", "left_semi"), threshold)).distinct()
-    full = candidates.join(tokens.select(F.col("class").alias("a"), F.col("tokens").alias("ta")), "a").join(
-        tokens.select(F.col("class").alias("b"), F.col("tokens").alias("tb")), "b"
-    )
-    pairs = scratch.write(_verified(full.select("a", "b", "ta", "tb"), threshold), "pairs")
+        candidates = candidates.union(_exact_pairs(tokens.select("class", "tokens").join(in_hot, "class", "left_semi"), threshold)).distinct()
+    sides = [tokens.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab"]
+    full = candidates.join(sides[0], "a").join(sides[1], "b")
+    pairs = scratch.write(_verified(full.select("a", "b", "na", "nb", "ta", "tb"), threshold), "pairs")
     return members, pairs
 
 
 def near_duplicate_pairs(df: DataFrame, threshold: float = 0.7, hot: int = HOT) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every two rows of (id, content) with at least ``threshold``, copies expanded."""
     members, pairs = near_duplicate_classes(df, threshold, hot)
-    left = members.select(F.col("class").alias("a"), F.col("id").alias("x"))
-    right = members.select(F.col("class").alias("b"), F.col("id").alias("y"))
-    across = pairs.select("a", "b").join(left, "a").join(right, "b").select("x", "y")
-    copied = members.groupBy("class").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    same = members.join(copied, "class").withColumn("salts", F.ceil(F.col("c") / SPAN).cast("int"))
+    # A class of many copies is spread over salts, so that no task expands it alone.
+    many = members.groupBy("class").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").withColumn("salts", F.ceil(F.col("c") / SPAN).cast("int"))
+    large = many.filter("salts > 1").select("class", "salts")
+    spread_out = members.join(large, "class", "left").select("class", F.coalesce(F.pmod(F.xxhash64("id"), "salts"), F.lit(0)).cast("int").alias("salt"), "id")
+    across = pairs.select("a", "b")
+    for x, name in (("a", "x"), ("b", "y")):
+        salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+        across = across.join(large.withColumnRenamed("class", x), x, "left").select(*across.columns, salts)
+        across = across.join(spread_out.withColumnRenamed("class", x).withColumnRenamed("id", name), [x, "salt"]).drop(x, "salt")
+    same = members.join(many, "class")
     one = same.select("class", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.col("id").alias("x"))
     two = same.select("class", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("y"))
     within = one.join(two, ["class", "salt"]).filter("x < y").select("x", "y")

@@ -72,7 +72,7 @@ def near_table(seed, n=70):
 
 
 def test_pairs_equal_brute_force(spark):
-    for seed, hot in ((1, 100), (2, 3)):
+    for seed, hot in ((1, 100), (2, 3), (2, 2), (2, 10**9)):
         texts = near_table(seed)
         rows = [(f"id{k:03d}", t, 1, b"x") for k, t in enumerate(texts)]
         df = spark.createDataFrame(rows + rows[:3], "id string, content string, n int, class binary")
@@ -111,6 +111,33 @@ def test_banded_distance():
     assert nd.banded_distance(a, b).tolist() == [plain(x.tolist(), y.tolist()) for x, y in zip(a, b)]
 
 
+def test_alignment_accepts_only_what_the_sets_accept():
+    r = random.Random(3)
+    hits = 0
+    for _ in range(300):
+        a = [r.randint(0, 30) for _ in range(r.randint(3, 60))]
+        b = list(a)
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(len(b))
+            b[k : k + r.randint(0, 1)] = [r.randint(0, 30)] * r.randint(0, 2)
+            b = b if len(b) > 2 else list(a)
+        x, y = ({tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in (a, b))
+        most = int(nd.allowed_edits(np.array([len(x)]), np.array([len(y)]), 0.7)[0])
+        d = int(nd.banded_distance([np.array(a, np.uint64)], [np.array(b, np.uint64)], 60)[0])
+        if d <= most:
+            hits += 1
+            assert len(x & y) / len(x | y) >= 0.7
+    assert hits > 50
+
+
+def test_copies_of_two_large_classes(spark, monkeypatch):
+    monkeypatch.setattr(nd, "SPAN", 7)
+    a = " ".join(f"t{k}" for k in range(40))
+    df = spark.range(60).selectExpr("concat('k', lpad(id, 2, '0')) as id", f"case when id % 2 = 0 then '{a}' else '{a} more' end as content")
+    got = [(r.id_a, r.id_b) for r in nd.near_duplicate_pairs(df).collect()]
+    assert len(got) == len(set(got)) == 60 * 59 // 2
+
+
 def vectors(seed, n, dim=64):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((n // 8, dim))
