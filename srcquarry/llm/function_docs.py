@@ -2,13 +2,14 @@
 
 A string- and comment-aware lexer, run as an associative scan over a whole Arrow batch (``scan.py``),
 tells code from comments, strings, character literals and text blocks. Braces in code, matched by depth,
-delimit the body of each method; its documentation is the last ``/** */`` comment before it with nothing
+delimit each method from the line its record names; a line that leads to neither braces nor a semicolon is no
+method. Its documentation is the last ``/** */`` comment before it with nothing
 but white space, annotations and ordinary comments in between. Pairs whose documentation says nothing
 the name does not say are dropped.
 
 Defined results: files without content, records without methods, and methods without a line inside the
 file have no pair; paths are compared after removing ``./`` and turning ``\\`` into ``/``; repeated rows
-count once; an unclosed comment or string runs to the end of its file; a method without a body (abstract)
+count once; an unclosed comment, string or body runs to the end of its file; a method without a body (abstract)
 has its declaration as code; extra columns are ignored.
 """
 
@@ -100,13 +101,34 @@ class Lexed:
         np.add.at(comment, self.stop, -1)
         self.in_comment = np.cumsum(comment[:n]) > 0
         self.code = ~self.in_comment & ~np.isin(before, [STRING, STRING_ESC, CHAR, CHAR_ESC, TEXT, TEXT_ESC, TEXT1, TEXT2, QUOTE1])
-        self.depth = np.cumsum(((cp == 123) & self.code).astype(np.int32) - ((cp == 125) & self.code).astype(np.int32))
-        self.open = np.flatnonzero((cp == 123) & self.code)
-        self.close = np.flatnonzero((cp == 125) & self.code)
+        step = ((cp == 123) & self.code).astype(np.int32) - ((cp == 125) & self.code).astype(np.int32)
+        self.open = np.flatnonzero(step > 0)
+        self.match = self._matches(step)
+        # Depth of parentheses before each character: braces inside of them are values of annotations.
+        paren = ((cp == 40) & self.code).astype(np.int32) - ((cp == 41) & self.code).astype(np.int32)
+        self.paren = np.cumsum(paren) - paren
         self.semicolon = np.flatnonzero((cp == 59) & self.code)
         self.lines = np.unique(np.concatenate([np.flatnonzero(cp == 10) + 1, self.bases]))
         self.solid = ~np.isin(cp, [32, 9, 10, 13, 12, 0xA0, 0xFEFF]) & ~self.in_comment
 
+    def _matches(self, step: np.ndarray) -> np.ndarray:
+        """Position of the brace that closes each opening brace, or the end of its text.
+
+        Braces of one text and depth, in order, take turns in opening and closing.
+        """
+        at = np.flatnonzero(step)
+        doc = np.searchsorted(self.ends, at, side="right")
+        depth = np.cumsum(step[at])
+        level = np.where(step[at] > 0, depth, depth + 1)
+        order = np.lexsort((at, level, doc))
+        pos, opens, group = at[order], step[at][order] > 0, np.stack([doc[order], level[order]])
+        end = self.ends[group[0]] if len(pos) else pos
+        closed = np.zeros(len(pos), bool)
+        closed[:-1] = opens[:-1] & ~opens[1:] & (group[:, :-1] == group[:, 1:]).all(0)
+        end = np.where(closed, np.append(pos[1:], 0) + 1, end)
+        out = end[opens]
+        return out[np.argsort(pos[opens])]
+
     def line_start(self, doc: int, line: int) -> int:
         """Position of a 1-based line of a text, or -1."""
         k = int(np.searchsorted(self.lines, self.bases[doc])) + line - 1
@@ -138,29 +160,19 @@ class Lexed:
         return None
 
     def body_end(self, doc: int, at: int) -> int:
-        """End of the method that begins at ``at``: its matching brace, or the semicolon of its declaration."""
+        """End of the method that begins at ``at``: its matching brace, or the semicolon of its declaration; -1 if it has neither."""
         limit = int(self.ends[doc])
-        o, s = int(np.searchsorted(self.open, at)), int(np.searchsorted(self.semicolon, at))
-        first_open = int(self.open[o]) if o < len(self.open) else limit
-        first_semi = int(self.semicolon[s]) if s < len(self.semicolon) else limit
-        while first_open < min(first_semi, limit) and self.whole[at] == "@" and self._in_annotation(at, first_open):
-            o += 1
-            first_open = int(self.open[o]) if o < len(self.open) else limit
-        if first_semi < first_open:
-            return min(first_semi + 1, limit)
-        if first_open >= limit:
-            return limit
-        level = self.depth[first_open] - 1
-        later = self.close[np.searchsorted(self.close, first_open) :]
-        later = later[later < limit]
-        hit = np.flatnonzero(self.depth[later] == level)
-        return int(later[hit[0]]) + 1 if len(hit) else limit
-
-    def _in_annotation(self, at: int, pos: int) -> bool:
-        """Is the brace at ``pos`` inside the parentheses of an annotation (an array value)?"""
-        part = self.whole[at:pos]
-        code = self.code[at:pos]
-        return sum((c == "(") - (c == ")") for c, k in zip(part, code) if k) > 0
+
+        def first(places: np.ndarray) -> int:
+            k = int(np.searchsorted(places, at))
+            while k < len(places) and places[k] < limit and self.paren[places[k]] > self.paren[at]:
+                k += 1
+            return k if k < len(places) and places[k] < limit else -1
+
+        o, s = first(self.open), first(self.semicolon)
+        if s >= 0 and (o < 0 or self.semicolon[s] < self.open[o]):
+            return int(self.semicolon[s]) + 1
+        return int(self.match[o]) if o >= 0 else -1
 
 
 #: A run of annotations, with one level of nested parentheses in their arguments.
@@ -253,14 +265,15 @@ def method_docs(records: DataFrame, sources: DataFrame, with_text: bool = True)
                 for d in range(b - a):
                     for m in lists[a + d]:
                         at = lexed.declaration(d, m["line"])
-                        comment = lexed.documentation(d, at) if at >= 0 else None
+                        end = lexed.body_end(d, at) if at >= 0 else -1
+                        comment = lexed.documentation(d, at) if end >= 0 else None
                         if comment is None:
                             continue
                         name = re.split(r"[#.]", re.sub(r"\(.*", "", m["name"], flags=re.S))[-1]
                         text = summary(comment)
                         if says_something(text, name):
                             row = (files[a + d], m["line"])
-                            rows.append(row + ((name, text, lexed.whole[at : lexed.body_end(d, at)]) if with_text else ()))
+                            rows.append(row + ((name, text, lexed.whole[at:end]) if with_text else ()))
                 cols = list(zip(*rows)) if rows else [()] * (5 if with_text else 2)
                 types = [pa.string(), pa.int32()] + [pa.string()] * 3 * with_text
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["file", "start_line", "name", "documentation", "code"][: len(types)])
