@@ -2,8 +2,10 @@
 
 Low-discrepancy schedule. The mix is a sequence of slots of equal size in tokens. Slot i goes to the source
 whose interval of cumulative weights holds the i-th golden-ratio point, so every stretch of the mix has
-the shares of the whole. Each source is a shuffled line of its documents, repeated in other orders as far
-as its cap allows, cut into blocks of the slot size; the k-th slot of a source is joined with its k-th block.
+the shares of the whole. The weights are the sizes that the sources reach within their caps, so no source runs dry
+before the end. Each source is a shuffled line of its documents, repeated in other orders as far
+as its cap allows, cut into blocks of exactly the slot size (documents are split where a block ends, only the last
+block of a source is shorter); the k-th slot of a source is joined with its k-th block, and slots are numbered without gaps.
 
 No source is sorted or summed in one task: positions are prefix sums in two levels (hash ranges first).
 
@@ -19,15 +21,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from srcquarry.llm.tokens import TOKENIZERS, VOCABULARY, encode_column
 from srcquarry.runtime import Scratch
 
 #: Tokens of a slot.
 SLOT = 1024
-#: Hash ranges a source is cut into for its prefix sums.
-RANGES = 1024
+#: Rows of a hash range, or of a stretch of slots, on average: prefix sums are taken within and over them.
+RANGE_ROWS = 10_000
 #: Sources a target table may name.
 MOST_SOURCES = 10_000
 GOLDEN = (math.sqrt(5) - 1) / 2
@@ -41,24 +43,25 @@ def sized(documents: DataFrame, targets: DataFrame, vocabulary: str) -> DataFram
     return where.join(counts.groupBy("doc_id").agg(F.max("n_tokens").alias("n_tokens")), "doc_id")
 
 
-def running(df: DataFrame, by: list[str], order: str, size: str, name: str) -> DataFrame:
-    """``df`` with the sum of ``size`` over the rows of the same group before each row, in the order of the hash ``order``.
+def running(df: DataFrame, by: list[str], part: Column, order: list[str], size: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``size`` over the rows of the same group before each row.
 
-    Two levels: totals per hash range, summed over at most RANGES rows per group, plus a sum within a range.
+    Two levels: the totals of the parts (a number that grows with the order), summed over the parts of a group, plus
+    a sum within the part.
     """
-    ranged = df.withColumn("__range", F.floor((F.col(order) / F.lit(float(1 << 63)) + 1) / 2 * RANGES).cast("int"))
-    totals = ranged.groupBy(*by, "__range").agg(F.sum(size).alias("__total"))
-    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    parted = df.withColumn("__part", part)
+    totals = parted.groupBy(*by, "__part").agg(F.sum(size).alias("__total"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
-    inside = Window.partitionBy(*by, "__range").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    summed = ranged.withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0)))
-    keys = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by] + [F.col("s.__range") == F.col("t.__range")]
+    inside = Window.partitionBy(*by, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parted.withColumn(name, F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    keys = [F.col(f"s.{c}").eqNullSafe(F.col(f"t.{c}")) for c in by] + [F.col("s.__part") == F.col("t.__part")]
     joined = summed.alias("s").join(totals.alias("t"), keys)
-    return joined.select("s.*", (F.col(f"s.{name}") + F.col("t.__before")).alias("__sum")).drop("__range", name).withColumnRenamed("__sum", name)
+    return joined.select("s.*", (F.col(f"s.{name}") + F.col("t.__before")).alias("__sum")).drop("__part", name).withColumnRenamed("__sum", name)
 
 
 class Mix:
-    """``plan``: one row per use of a document, with its slot; ``shares``: what each source reached."""
+    """``plan``: the part of a use of a document in each slot; ``shares``: what each source reached."""
 
     def __init__(self, documents: DataFrame, targets: DataFrame, slot: int = SLOT, vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}"):
         spark = documents.sparkSession
@@ -77,42 +80,52 @@ class Mix:
         plan = plan.withColumn("epochs", F.when(F.col("available") > 0, F.ceil(F.col("wanted") / F.col("available"))).otherwise(0).cast("int"))
         self.goal = scratch.write(plan, "plan")
 
-        uses = docs.join(self.goal.filter("epochs > 0").select("source", "available", "wanted", "epochs"), "source")
+        uses = docs.join(self.goal.filter("epochs > 0").select("source", "available", "n_docs", "wanted", "epochs"), "source")
         uses = uses.withColumn("use", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
         uses = uses.withColumn("h", F.xxhash64("doc_id", "use"))
-        uses = running(uses, ["source", "use"], "h", "n_tokens", "start")
+        ranges = F.ceil(F.col("n_docs") / RANGE_ROWS)
+        uses = running(uses, ["source", "use"], F.floor((F.col("h") / F.lit(float(1 << 63)) + 1) / 2 * ranges), ["h", "doc_id"], "n_tokens", "start")
         uses = uses.withColumn("start", F.col("start") + F.col("use") * F.col("available"))
         uses = uses.filter(F.col("start") + F.col("n_tokens") / 2 <= F.col("wanted"))
-        uses = uses.withColumn("block", F.floor(F.col("start") / slot))
-        self.uses = scratch.write(uses.select("source", "doc_id", "use", "n_tokens", "start", "block"), "uses")
+        self.uses = scratch.write(uses.select("source", "doc_id", "use", "n_tokens", "start"), "uses")
 
-        # Slots: golden-ratio points through the cumulative weights, ranked per source in two levels.
-        n = max(1, math.ceil(total / slot))
-        rows = self.goal.select("source", "target_share").orderBy("source").limit(MOST_SOURCES + 1).collect()  # the target table, not the data
+        # Blocks of each source; a list of sources, as the target table has.
+        rows = self.uses.groupBy("source").agg(F.max(F.col("start") + F.col("n_tokens")).alias("size")).orderBy("source").limit(MOST_SOURCES + 1).collect()
         if len(rows) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources in the target table")
-        highs, acc = [], 0.0
-        for r in rows:
-            acc += r["target_share"]
-            highs.append(acc)
-        # Rounding of the golden ratio may leave a source a few slots short: some more are laid out.
-        points = spark.range(n + n // 16 + 64).withColumn("u", ((F.col("id") + 0.5) * GOLDEN) % 1.0 * max(1.0, acc))
-        at = F.size(F.filter(F.array(*[F.lit(h) for h in highs]) if highs else F.array().cast("array<double>"), lambda h: h <= F.col("u")))
-        slots = points.withColumn("source", F.get(F.array(*[F.lit(r["source"]) for r in rows]) if rows else F.array().cast("array<string>"), at)).filter("source is not null")
-        span = max(1, (n + n // 16 + 64) // RANGES + 1)
-        slots = slots.withColumn("part", F.floor(F.col("id") / span))
-        parts = slots.groupBy("source", "part").agg(F.count(F.lit(1)).alias("c"))
-        parts = parts.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        nth = F.row_number().over(Window.partitionBy("source", "part").orderBy("id")) - 1
-        ranked = slots.withColumn("nth", nth).join(parts.select("source", "part", "before"), ["source", "part"])
-        ranked = ranked.select("source", (F.col("nth") + F.col("before")).alias("block"), F.col("id").alias("slot"))
-        # Blocks beyond the last laid-out slot of their source follow at the end, in order.
-        placed = self.uses.join(ranked, ["source", "block"], "left")
-        self.plan = placed.select(
-            F.coalesce("slot", F.lit(1 << 40) + F.col("block")).alias("slot"), "source", "doc_id", (F.col("use") + 1).alias("use"), "n_tokens",
-            (F.col("start") % slot).cast("long").alias("offset_in_block"),
+        blocks = [-(-r["size"] // slot) for r in rows]
+        n = sum(blocks)
+        slots = self._slots(spark, [r["source"] for r in rows], blocks, n)
+        edge = F.col("block") * slot
+        pieces = self.uses.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / slot), F.floor((F.col("start") + F.col("n_tokens") - 1) / slot))))
+        pieces = pieces.withColumn("from_token", F.greatest(edge - F.col("start"), F.lit(0)))
+        pieces = pieces.withColumn("n_tokens", F.least("n_tokens", edge + slot - F.col("start")) - F.col("from_token"))
+        self.plan = pieces.join(slots, ["source", "block"]).select(
+            "slot", "source", "doc_id", (F.col("use") + 1).alias("use"), "from_token", "n_tokens", (F.col("start") + F.col("from_token") - edge).alias("offset_in_block")
         )
 
+    @staticmethod
+    def _slots(spark, names: list[str], blocks: list[int], n: int) -> DataFrame:
+        """(source, block, slot): golden-ratio points through the cumulative weights, ranked per source, then numbered anew without gaps."""
+        if not n:
+            return spark.createDataFrame([], "source string, block bigint, slot bigint")
+        highs = [sum(blocks[: k + 1]) / n for k in range(len(blocks))]
+        # Rounding of the golden ratio may leave a source a few slots short: some more are laid out.
+        laid = n + n // 16 + 64
+        points = spark.range(laid).withColumn("u", ((F.col("id") + 0.5) * GOLDEN) % 1.0)
+        at = F.least(F.size(F.filter(F.array(*map(F.lit, highs)), lambda h: h <= F.col("u"))), F.lit(len(names) - 1))
+        points = points.select("id", at.alias("at"), F.lit(1).alias("one"))
+        stretch = F.floor(F.col("id") / RANGE_ROWS)
+        ranked = running(points, ["at"], stretch, ["id"], "one", "block").filter(F.col("block") < F.get(F.array(*map(F.lit, blocks)), F.col("at")))
+        # Blocks that have no slot still (few, if any) follow at the end.
+        have = {r["at"]: r["n"] for r in ranked.groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+        late = [(laid + b, k, b) for k, c in enumerate(blocks) for b in range(have.get(k, 0), c)]
+        ranked = ranked.select("id", "at", "block")
+        if late:
+            ranked = ranked.unionByName(spark.createDataFrame(late, "id bigint, at int, block bigint"))
+        dense = running(ranked.withColumn("one", F.lit(1)), [], stretch, ["id", "at"], "one", "slot")
+        return dense.select(F.get(F.array(*map(F.lit, names)), F.col("at")).alias("source"), F.col("block").cast("long"), F.col("slot").cast("long"))
+
     def shares(self) -> DataFrame:
         used = self.uses.groupBy("source").agg(F.sum("n_tokens").alias("used"), F.max("use").alias("most"), F.count(F.lit(1)).alias("n_uses"))
         # A window over the rows of the target table, one per source.

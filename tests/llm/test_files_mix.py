@@ -143,9 +143,15 @@ def test_mix_reaches_its_shares(spark):
     assert abs(shares["big"].share_of_total - 0.3) < 0.01 and abs(shares["mid"].share_of_total - 0.5) < 0.01
     assert shares["none"].used_tokens == 0 and shares["none"].available_tokens == 0
     for s, cap in (("big", 1), ("mid", 4), ("tiny", 3)):
-        assert plan[plan.source == s].groupby("doc_id").size().max() <= cap
+        own = plan[plan.source == s]
+        assert own.groupby("doc_id").use.nunique().max() <= cap
+        # Every block but the last of a source is full.
+        sizes = own.groupby("slot").n_tokens.sum().sort_index()
+        assert set(sizes[:-1]) <= {256} and 0 < sizes.iloc[-1] <= 256
     assert not set(plan.doc_id) & {5000, 5001, 5002, 5003}
-    assert not plan.duplicated(["doc_id", "use"]).any()
+    assert not plan.duplicated(["doc_id", "use", "from_token"]).any()
+    assert sorted(set(plan.slot)) == list(range(plan.slot.nunique())) and (plan.groupby("slot").source.nunique() == 1).all()
+    assert plan.n_tokens.sum() == sum(x.used_tokens for x in shares.values())
     # Every stretch has the shares of the whole.
     plan = plan.sort_values("slot")
     part = plan[plan.slot < plan.slot.median()]
