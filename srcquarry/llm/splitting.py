@@ -7,7 +7,9 @@ Arrow batch (a successor always lies in the same text, so no shuffle is needed).
 then squared again and again, which yields all greedy cuts in O(log pieces) vector steps.
 
 Natural boundaries, best first: the ends of blank lines, of lines, of words. Finer ones are added only
-where the coarser leave a gap no piece could bridge; hard cuts only where there is no white space.
+where the coarser leave a gap no piece could bridge; hard cuts only where there is no white space. A piece
+begins at the last word boundary that leaves the overlap, so neighbours share at least that much; only a word of
+more than SLACK of the way is begun in the middle.
 
 Defined results: null and empty texts have no pieces; a text within the limit is one piece; a limit
 that is null or not positive takes the default; an overlap above half the limit counts as half of it;
@@ -31,6 +33,8 @@ from srcquarry.runtime import spread
 #: The defaults for languages without limits of their own.
 DEFAULTS = {"min_tokens": 300, "max_tokens": 800, "chars_per_token": 4, "overlap_tokens": 80}
 HEADER = "[symbol_kind="
+#: Part of the way from one cut to the next that may go to an earlier start at a word boundary.
+SLACK = 0.25
 
 
 def with_limits(chunks: DataFrame, limits: DataFrame) -> DataFrame:
@@ -70,7 +74,8 @@ def split_batch(texts: list[str], limits: np.ndarray, overlaps: np.ndarray):
     n = int(ends[-1])
     cp = code_points("".join(texts))
     overlaps = np.minimum(overlaps, limits // 2)
-    reach = limits - overlaps
+    slack = ((limits - overlaps) * SLACK).astype(np.int64)
+    reach = limits - overlaps - slack
 
     def doc_of(pos: np.ndarray) -> np.ndarray:
         return np.searchsorted(ends, pos, side="right")
@@ -80,7 +85,8 @@ def split_batch(texts: list[str], limits: np.ndarray, overlaps: np.ndarray):
     nxt = np.append(cp, 10)
     blank = line_ends[(nxt[line_ends] == 10) | (nxt[line_ends] == 13)]
     cuts = np.unique(np.concatenate([bases, ends]))
-    for finer in (blank, line_ends, np.flatnonzero(np.isin(cp, [32, 9, 0x3000])) + 1):
+    words = np.flatnonzero(np.isin(cp, [32, 9, 0x3000])) + 1
+    for finer in (blank, line_ends, words):
         cuts = _fill(cuts, finer, reach, doc_of, n)
     gaps = np.diff(cuts)
     room = reach[doc_of(cuts[:-1])]
@@ -92,7 +98,10 @@ def split_batch(texts: list[str], limits: np.ndarray, overlaps: np.ndarray):
     # Farthest legal successor of each boundary; the end of a text is its own successor.
     doc = np.minimum(doc_of(cuts), len(texts) - 1)
     at_base = cuts == bases[doc]
-    start = np.where(at_base, cuts, np.maximum(cuts - overlaps[doc], bases[doc]))
+    start = np.maximum(cuts - overlaps[doc], bases[doc])
+    natural = np.unique(np.concatenate([bases, line_ends, words]))
+    natural = natural[np.searchsorted(natural, start, side="right") - 1]
+    start = np.where(at_base, cuts, np.where(natural >= np.maximum(start - slack[doc], bases[doc]), natural, start))
     last = np.searchsorted(cuts, ends)
     succ = np.minimum(np.searchsorted(cuts, start + limits[doc], side="right") - 1, last[doc])
     # A boundary that ends one text begins the next: the first pieces are looked up apart.
@@ -115,9 +124,9 @@ def split_batch(texts: list[str], limits: np.ndarray, overlaps: np.ndarray):
     cut = np.flatnonzero(reached)
     piece_end = cuts[cut]
     which = np.searchsorted(ends, piece_end, side="left")
-    prev = np.append(0, piece_end[:-1])
+    prev = np.append(0, cut[:-1])
     new = np.append(True, which[1:] != which[:-1])
-    piece_start = np.where(new, bases[which], np.maximum(prev - overlaps[which], bases[which]))
+    piece_start = np.where(new, bases[which], start[prev])
     return which, piece_start - bases[which], piece_end - bases[which]
 
 

@@ -19,7 +19,12 @@ def test_pieces_of_random_texts():
         for k, t in enumerate(texts):
             o, p = min(overlap[k], limit[k] // 2), [(a, b) for d, a, b in zip(doc, start, end) if d == k]
             assert p[0][0] == 0 and p[-1][1] == len(t) and all(0 < b - a <= limit[k] for a, b in p)
-            assert all(c == max(0, b - o) and d > b for (_, b), (c, d) in zip(p, p[1:]))
+            assert all(a < c <= max(0, b - o) or c == 0 == max(0, b - o) for (a, b), (c, _) in zip(p, p[1:])) and all(d > b for (_, b), (_, d) in zip(p, p[1:]))
+            slack = int((limit[k] - o) * splitting.SLACK)
+            for (_, b), (c, _) in zip(p, p[1:]):  # at a boundary of words unless none is near enough
+                low = max(0, b - o - slack)
+                near = [x for x in range(low, max(0, b - o) + 1) if x == 0 or t[x - 1] in " \n"]
+                assert c == (near[-1] if near else b - o)
 
 
 def test_cuts_are_natural_and_greedy():
@@ -37,7 +42,7 @@ def test_split_chunks(spark):
     a = [r for r in got if r.id == "a"]
     assert [r.piece for r in a] == list(range(len(a))) and all(len(r.content) <= 40 for r in a)
     assert a[0].start_line == 100 and a[-1].end_line == 105
-    assert all(p.content[-8:] == q.content[:8] for p, q in zip(a, a[1:]))
+    assert all(p.end_char - q.start_char >= 8 and p.content.endswith(q.content[: p.end_char - q.start_char]) and (p.content + "x")[q.start_char - p.start_char - 1] in " \n" for p, q in zip(a, a[1:]))
     c = [r for r in got if r.id == "c"]
     assert sum(r.end_char - r.start_char for r in c) == 3201 + 320 * (len(c) - 1) and {r.start_line for r in c} == {0}
     assert splitting.split_chunks(df.limit(0), limits).count() == 0
