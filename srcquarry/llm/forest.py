@@ -14,7 +14,10 @@ class Forest:
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
         rng = np.random.default_rng(self.seed)
         n, f = x.shape
-        cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, self.bins + 1)[1:-1])) for k in range(f)]
+        # Quantiles, closer at both ends, where the rare classes are.
+        tail = np.array([0.002, 0.005, 0.01, 0.02])
+        at = np.unique(np.concatenate([np.linspace(0, 1, self.bins + 1)[1:-1], tail, 1 - tail]))
+        cuts = [np.unique(np.quantile(x[:, k], at, method="lower")) for k in range(f)]
         code = np.stack([np.searchsorted(c, x[:, k], side="left") for k, c in enumerate(cuts)], 1).astype(np.int64)
         self.nodes = []
         take = max(1, int(np.sqrt(f)) + 1)

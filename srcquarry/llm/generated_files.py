@@ -1,18 +1,17 @@
 """Files nobody wrote by hand for their repository: generated, minified, vendored, or data stored as code.
 
-A random forest on compression ratio, token entropy, identifier lengths, comment density, line shapes and
-names. Labels come from notices in file headers; header comments and notices are cut out before any
-feature is computed, so the forest learns what such files look like without them. Three corpus statistics
-over all rows join the features: in how many repositories the same content occurs, and how often *other*
-files that share a name part or directory carry a notice (of other folds, so that no row sees its own label).
-
-The forest is fitted on at most SAMPLE rows chosen by hash, notices or not; every row is scored. Many such
-files carry no notice, so rows without one are not all negatives: a first forest scores the sample out of
-bag, and the second is fitted without the unlabelled rows that score DOUBT or more. A file is found if it
-carries a notice or its score reaches THRESHOLD.
-
-Defined results: a file with null or empty content has only its names to go by; repeated rows count once;
-extra columns are ignored; a table without any notice finds only data-like files (see DATA_SHARE).
+A random forest on compression ratio, token entropy, identifier lengths, comment density and line shapes.
+Labels come from notices in file headers; header comments and notices are cut out before any
+feature is computed, so the forest learns what such files look like without them. Two corpus statistics
+over all rows join the features, both without labels: in how many repositories the same content occurs, and in how
+many a file of the same base name.
+
+The forest is fitted on at most SAMPLE rows chosen by hash, notices or not; every row is scored, and its score alone
+decides (THRESHOLD: most of the trees). Many such files carry no notice, so rows without one are not all negatives: a first
+forest scores the sample out of bag, and the second is fitted without the unlabelled rows that score DOUBT or more.
+
+Defined results: a file with null or empty content has only its name to go by; repeated rows count once;
+extra columns are ignored; a table without any label (notice, or data by DATA_SHARE) has nothing to learn from and no hit.
 """
 
 from __future__ import annotations
@@ -34,14 +33,12 @@ from srcquarry.runtime import Scratch, spread
 
 #: Rows the forest is fitted on at most.
 SAMPLE = 20_000
-THRESHOLD = 0.55
-#: Folds of the notice statistics.
-FOLDS = 5
+THRESHOLD = 0.5
 #: Out-of-bag score from which a row without a notice is no reliable negative.
 DOUBT = 0.08
 #: Share of literals in what is neither comment nor punctuation above which a file is labelled as data stored
-#: as code (such files carry no notices).
-DATA_SHARE = 0.9
+#: as code (such files carry no notices), from DATA_SIZE characters on.
+DATA_SHARE, DATA_SIZE = 0.9, 400
 
 NOTICE = re.compile(
     r"code generated by|auto(?:matically|-)? ?generated|generated automatically|\bmaschinell erzeugt|automatisch (?:erzeugt|generiert)"
@@ -90,17 +87,9 @@ def without_notice(text: str) -> str:
     return re.sub(r"(?m)^[^\n]*(?:@[\w.]*Generated\s*\(|sourceMappingURL=)[^\n]*$\n?", "", "\n".join(lines) + rest)
 
 
-def name_parts(path: str) -> list[str]:
-    """Directories below the repository and parts of the file name, as keys of the notice statistics."""
-    *dirs, name = path.split("/")
-    stem, *ext = name.split(".")
-    base = re.sub(r"[-_.]?v?\d+$", "", stem).lower()
-    out = {f"name:{base}", f"dir:{base}", *(f"dir:{re.sub(r'-[0-9.]+$', '', d).lower()}" for d in dirs[2:])}
-    out |= {f"ext:{e.lower() if not re.fullmatch('[0-9a-f]{6,}', e) else 'hash'}" for e in ext if not e.isdigit()}
-    camel = re.findall(r"[A-Z][a-z]+|_[A-Za-z]+", stem)
-    if camel:
-        out.add(f"last:{camel[-1].lower()}")
-    return sorted(out)
+def base_name(path: str) -> str:
+    """The name of a file without directories, extensions and a version at its end."""
+    return re.sub(r"[-_.]?v?\d+$", "", path.split("/")[-1].split(".")[0]).lower()
 
 
 def _segments(counts: np.ndarray) -> np.ndarray:
@@ -203,8 +192,8 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def described(sources: DataFrame) -> DataFrame:
-    """(file, repo_id, notice, data, digest, parts, x) of (file, repo_id, content)."""
-    schema = "file string, repo_id string, notice int, data int, digest bigint, parts array<string>, x array<double>"
+    """(file, repo_id, notice, data, digest, base, x) of (file, repo_id, content)."""
+    schema = "file string, repo_id string, notice int, data int, digest bigint, base string, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,32 +204,25 @@ def described(sources: DataFrame) -> DataFrame:
                 x = features(bodies)
                 notice = [int(has_notice(t)) for t in own]
                 lit = FEATURES.index("data_share")
-                data = [int(bool(t) and v > DATA_SHARE and w > 400) for t, v, w in zip(bodies, x[:, lit], map(len, bodies))]
-                digest = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if len(t) > 200 else None for t in bodies]
+                data = [int(bool(t) and v > DATA_SHARE and w > DATA_SIZE) for t, v, w in zip(bodies, x[:, lit], map(len, bodies))]
+                digest = [int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if t else None for t in bodies]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(files[a:b], pa.string()), pa.array(repos[a:b], pa.string()), pa.array(notice, pa.int32()), pa.array(data, pa.int32()), pa.array(digest, pa.int64()), pa.array([name_parts(f or "") for f in files[a:b]], pa.list_(pa.string())), pa.array(x.tolist(), pa.list_(pa.float64()))],
-                    names=["file", "repo_id", "notice", "data", "digest", "parts", "x"],
+                    [pa.array(files[a:b], pa.string()), pa.array(repos[a:b], pa.string()), pa.array(notice, pa.int32()), pa.array(data, pa.int32()), pa.array(digest, pa.int64()), pa.array([base_name(f) for f in files[a:b]], pa.string()), pa.array(x.tolist(), pa.list_(pa.float64()))],
+                    names=["file", "repo_id", "notice", "data", "digest", "base", "x"],
                 )
 
     return spread(sources.select("file", "repo_id", "content").filter("file is not null")).mapInArrow(run, schema)
 
 
 def with_statistics(rows: DataFrame) -> DataFrame:
-    """``rows`` with three more features: repositories with the same content, highest notice rate of a name part, of a directory."""
-    copies = rows.filter("digest is not null").select("digest", "repo_id").distinct().groupBy("digest").agg(F.count(F.lit(1)).alias("repos"))
-    parts = rows.select("file", "notice", F.pmod(F.xxhash64("file"), F.lit(FOLDS)).alias("fold"), F.explode("parts").alias("part"))
-    folds = parts.groupBy("part", "fold").agg(F.count(F.lit(1)).alias("fn"), F.sum("notice").alias("fpos"))
-    # Only parts seen with a notice can raise a rate; the common ones without stay out of the join.
-    whole = folds.groupBy("part").agg(F.sum("fn").alias("n"), F.sum("fpos").alias("pos")).filter("pos >= 2 and pos >= 0.25 * n")
-    # Rates of the other folds, in steps of 0.05: rows of a fold get the same value whatever their own label.
-    rates = folds.join(whole, "part").select("part", "fold", F.round((F.col("pos") - F.col("fpos") + 0.2) / (F.col("n") - F.col("fn") + 2.0) * 20).alias("rate"))
-    own = parts.select("file", "fold", "part").join(rates.withColumn("rate", F.col("rate") / 20), ["part", "fold"])
-    best = own.groupBy("file").agg(
-        F.max(F.when(F.col("part").startswith("dir:"), F.col("rate"))).alias("dir_rate"), F.max(F.when(~F.col("part").startswith("dir:"), F.col("rate"))).alias("name_rate")
-    )
-    full = rows.join(copies, "digest", "left").join(best, "file", "left")
-    extra = F.array(F.coalesce("repos", F.lit(1)).cast("double"), F.coalesce("dir_rate", F.lit(0.0)), F.coalesce("name_rate", F.lit(0.0)))
-    return full.select("file", "notice", "data", F.concat("x", extra).alias("x"))
+    """``rows`` with two more features: repositories with the same content, repositories with the same base name."""
+    out = rows
+    for key in ("digest", "base"):
+        # Only what occurs in several repositories needs a join; all else counts one.
+        several = rows.filter(F.col(key).isNotNull()).select(key, "repo_id").distinct().groupBy(key).agg(F.count(F.lit(1)).alias(f"{key}_repos")).filter(F.col(f"{key}_repos") > 1)
+        out = out.join(several, key, "left")
+    extra = F.array(*[F.coalesce(f"{key}_repos", F.lit(1)).cast("double") for key in ("digest", "base")])
+    return out.select("file", "notice", "data", F.concat("x", extra).alias("x"))
 
 
 def scored(sources: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -270,5 +252,5 @@ def scored(sources: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def not_hand_written(files: DataFrame, sources: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(file), spelled as in ``files``."""
-    hits = scored(sources, sample).filter((F.col("score") >= threshold) | (F.greatest("notice", "data") == 1)).select("file")
+    hits = scored(sources, sample).filter(F.col("score") >= threshold).select("file")
     return files.select("file").filter("file is not null").distinct().join(hits.distinct(), "file", "left_semi")
