@@ -58,12 +58,12 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_column(_table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text")
+    return tokens.encode_column(tokens.once(_table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", even=True)
 
 
 def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
     """Token ids with the code point offsets of their slices."""
-    return tokens.encode_column(_table(spark, d, "documents").select("doc_id", "text").distinct(), "doc_id", "text", "offsets")
+    return tokens.encode_column(tokens.once(_table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text", "offsets", even=True)
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -4,8 +4,11 @@ Boundary rules are compiled into finite transducers over character (and line) cl
 associative scans (``scan.py``): a whole Arrow batch of documents is one array, a very long document is
 many chunks of it whose transition functions are composed, so no document is a sequential bottleneck.
 
-Three transducers run one after the other: lines to blocks (fences, headings, list items, paragraphs),
-quotation marks to matched pairs, characters of paragraphs to sentence ends.
+Transducers run one after the other: lines to blocks (fences, headings, list items, paragraphs),
+quotation marks to matched pairs, words before periods to what they say about the sentence (a trie of all abbreviations and
+ordinal words, run for all periods in lockstep), characters of paragraphs to sentence ends. What follows a mark is
+read from scans in the other direction (the next solid, alphanumeric, white character of every position), so a mark
+looks as far as it has to and no rule is a loop over marks.
 
 Defined results: null, empty and blank texts have no rows; a blank line always ends a sentence; headings,
 list items with their marker and fenced code blocks are one sentence each; an unclosed fence runs to the
@@ -49,25 +52,30 @@ GOES_ON = {
     "डॉ", "श्री", "प्रो", "सं",
 }
 #: Abbreviations that end a sentence if what follows looks like the start of one.
-MAY_END = {"etc", "usw", "u.s", "u.k", "u.n", "e.u", "a.m", "p.m", "inc", "ltd", "corp", "co", "jr", "al", "т.д", "т.п", "др", "ee.uu", "u.s.a", "ph.d", "i.e.s", "bspw", "ff"}
+MAY_END = {"etc", "usw", "u.s", "u.k", "u.n", "e.u", "a.m", "p.m", "inc", "ltd", "corp", "co", "jr", "al", "т.д", "т.п", "др", "ee.uu", "u.s.a", "ph.d", "bspw", "ff"}
 #: Words before a number with a period that make it an ordinal.
 ORDINAL_BEFORE = {
     "der", "die", "das", "den", "dem", "des", "am", "im", "zum", "zur", "vom", "beim", "ab", "bis", "seit", "jede", "jeder", "jedes", "jeden",
     "ein", "eine", "einer", "einem", "einen", "ihr", "ihre", "sein", "seine", "unser", "unsere", "dieser", "diese", "dieses", "nach", "mit",
 }
 #: How the text goes on after a quotation that is part of a longer sentence (Japanese, Chinese).
-QUOTED_ON = ("と", "って", "など", "の", "は", "が", "を", "に", "も", "で", "，", "、", "；", "：", "地说", "地問", "他说", "她说", "然后")
+QUOTED_ON = ("と", "って", "など", "の", "は", "が", "を", "に", "も", "で", "，", "、", "；", "：", "地说", "地问", "他说", "她说", "然后")
 
 PAIRS = {0x28: 0x29, 0x5B: 0x5D, 0xAB: 0xBB, 0x2039: 0x203A, 0x300C: 0x300D, 0x300E: 0x300F, 0xFF08: 0xFF09, 0x3010: 0x3011, 0x300A: 0x300B, 0x3008: 0x3009, 0xFF3B: 0xFF3D}
 LOW9, LEFT, RIGHT, DOUBLE, SINGLE = 0x201E, 0x201C, 0x201D, 0x22, 0x27
 
 _kinds: np.ndarray | None = None
+#: Properties of characters, as bits: letter or digit; upper or title case or digit; lower case; letter; digit.
+ALNUM, HIGH, LOW, ALPHA, NUMBER, MARK = 1, 2, 4, 8, 16, 32
+_props: np.ndarray | None = None
+_low: np.ndarray | None = None
 
 
 def _kind_table() -> np.ndarray:
-    global _kinds
+    global _kinds, _props, _low
     if _kinds is None:
         table = np.full(0x110000, OTHER, np.uint8)
+        props, low = np.zeros(0x110000, np.uint8), np.arange(0x110000, dtype=np.uint32)
         group = {"Lu": UPPER, "Lt": UPPER, "Ll": LOWER, "Lo": UNICASE, "Lm": UNICASE, "Nd": DIGIT, "Mn": MARKS, "Mc": MARKS, "Me": MARKS, "Cf": MARKS}
         for c in range(0x110000):
             x = chr(c)
@@ -76,6 +84,14 @@ def _kind_table() -> np.ndarray:
                 table[c] = WHITE
             elif g in group:
                 table[c] = group[g]
+            if g[0] == "M":
+                props[c] = MARK
+            elif g[0] in "LN":
+                digit, lower = x.isdigit(), x.lower()
+                high = digit or x.isupper() or x.istitle()
+                props[c] = ALNUM * x.isalnum() | HIGH * high | LOW * x.islower() | ALPHA * x.isalpha() | NUMBER * digit
+                if len(lower) == 1:
+                    low[c] = ord(lower)
         for a, b in PAIRS.items():
             table[a], table[b] = OPENER, CLOSER
         for x in "“„¿¡‘":
@@ -90,7 +106,7 @@ def _kind_table() -> np.ndarray:
             table[ord(x)] = DOTS
         for x in ",;:，、；：؛،":
             table[ord(x)] = CONT
-        _kinds = table
+        _kinds, _props, _low = table, props, low
     return _kinds
 
 
@@ -101,6 +117,11 @@ def _next_index(mask: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1] if n else at
 
 
+def _last_index(mask: np.ndarray) -> np.ndarray:
+    """For each position the last one at or before it where ``mask`` holds, else -1."""
+    return np.maximum.accumulate(np.where(mask, np.arange(len(mask)), -1)) if len(mask) else np.empty(0, np.int64)
+
+
 # ---------------------------------------------------------------- lines to blocks
 L_PLAIN, L_BLANK, L_TICKS, L_TICKS_INFO, L_TILDES, L_TILDES_INFO, L_HEAD, L_ITEM, L_NUMBER, L_RULE, L_BREAK = range(11)
 B_NONE, B_PARA, B_ITEM, B_TICKS, B_TILDES = range(5)
@@ -252,71 +273,121 @@ def _char_table() -> tuple[np.ndarray, np.ndarray]:
 CHARS, ENDS = _char_table()
 
 
-def _goes_on(whole: str, dot: int, start: int, lowest: int) -> int:
-    """What the word before the period at ``dot`` says: 1 the sentence goes on, 2 it may end, 0 nothing."""
-    a = dot
-    while a > start and (whole[a - 1].isalnum() or whole[a - 1] in ".-°" or unicodedata.category(whole[a - 1])[0] == "M"):
-        a -= 1
-    word = whole[a:dot].lower()
-    if not word:
-        return 0
-    if word.isdigit():
-        if len(word) > 4:
-            return 0
-        b = a
-        while b > lowest and whole[b - 1].isspace():
-            b -= 1
-        c = b
-        while c > lowest and whole[c - 1].isalpha():
-            c -= 1
-        nxt = whole[dot + 1 : dot + 40].lstrip()
-        return 1 if b < a and whole[c:b].lower() in ORDINAL_BEFORE and nxt[:1].isupper() else 0
-    b = a
-    while b > lowest and whole[b - 1].isspace():
-        b -= 1
-    spaced = b < a
-    # Abbreviations written with a space, like "т. д." or "p. ex.".
-    if spaced and b - 2 >= lowest and whole[b - 1] == "." and whole[b - 2].isalpha() and (b - 3 < lowest or not whole[b - 3].isalnum()):
-        both = f"{whole[b - 2].lower()}.{word}"
-        if both in MAY_END:
-            return 2
-        if both in GOES_ON:
-            return 1
-    for w in (word, word.rsplit("-", 1)[-1]):
-        if w in MAY_END:
-            return 2
-        if w in GOES_ON:
-            return 1
-    if len(word) == 1 and word.isalpha():  # an initial, but a unit after a number
-        return 2 if spaced and whole[b - 1].isdigit() else 1
-    return 0
-
-
-def _starts_like(whole: str, at: int, stop: int) -> int:
-    """How the text at ``at`` begins: 2 like a sentence, 1 like a sentence without case, 0 like its continuation."""
-    k = at
-    while k < stop and not (whole[k].isalnum()):
-        if whole[k] in "¿¡":
-            return 2
-        if whole[k] in ",;:，、；：؛،" and k == at:
-            return 0
-        if whole[k].isspace() and k > at + 12:
-            break
-        k += 1
-    if k >= stop:
-        return 2
-    c = whole[k]
-    if c.isupper() or c.istitle() or c.isdigit():
-        return 2
-    if not c.islower():
-        return 1
-    e = k + 1
-    while e < stop and not whole[e].isspace() and e < k + 80:
-        x = whole[e]
-        if x.isupper() or x in "/_(" or x.isdigit() or (x == "." and e + 1 < stop and whole[e + 1].isalnum() and e - k > 2):
-            return 2  # an identifier or a path written in lower case
-        e += 1
-    return 0
+class Words:
+    """The word lists as one automaton: ``table[class, state]``, ``says[state]``; state 0 is dead, 1 the start."""
+
+    def __init__(self, lists: dict[int, set[str]]):
+        letters = sorted({c for words in lists.values() for w in words for c in w})
+        self.codes = np.array([ord(c) for c in letters], np.uint32)
+        number = {c: k + 1 for k, c in enumerate(letters)}
+        edges: list[dict[int, int]] = [{}, {}]
+        says = [0, 0]
+        for bit, words in lists.items():
+            for w in words:
+                at = 1
+                for c in w:
+                    if number[c] not in edges[at]:
+                        edges[at][number[c]] = len(edges)
+                        edges.append({})
+                        says.append(0)
+                    at = edges[at][number[c]]
+                says[at] |= bit
+        self.table = np.zeros((len(letters) + 1, len(edges)), np.int32)
+        for state, out in enumerate(edges):
+            for c, to in out.items():
+                self.table[c, state] = to
+        self.says = np.array(says, np.uint8)
+        self.longest = max(len(w) for words in lists.values() for w in words)
+
+    def classes(self, codes: np.ndarray) -> np.ndarray:
+        k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[k] == codes, k + 1, 0)
+
+    def run(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, state: np.ndarray | None = None) -> np.ndarray:
+        """State after the characters start..end of each word, all words in lockstep; a word longer than any listed is dead."""
+        state = np.ones(len(start), np.int64) if state is None else state.copy()
+        state[(end - start > self.longest) | (end <= start)] = 0
+        for k in range(self.longest):
+            live = np.flatnonzero((state > 0) & (start + k < end))
+            if not len(live):
+                break
+            state[live] = self.table[self.classes(low[start[live] + k]), state[live]]
+        return state
+
+
+#: What a listed word says: the sentence goes on, it may end, a number after it is an ordinal.
+ON, MAY, ORDINAL = 1, 2, 4
+WORDS = Words({ON: GOES_ON, MAY: MAY_END, ORDINAL: ORDINAL_BEFORE})
+
+
+class Around:
+    """What stands around each position of a text: the scans that the rules on marks look up."""
+
+    def __init__(self, cp: np.ndarray, kind: np.ndarray):
+        at = np.minimum(cp, 0x10FFFF)
+        self.n, self.cp, self.kind, self.props, self.low = len(cp), cp, kind, _props[at], _low[at]
+        white = kind == WHITE
+        self.inverted = np.isin(cp, [0xBF, 0xA1])
+        alnum = (self.props & ALNUM) > 0
+        self.next_word = self._padded(_next_index(alnum | self.inverted))
+        self.next_white = self._padded(_next_index(white))
+        self.next_solid = self._padded(_next_index(~white))
+        # Signs of an identifier or a path: a capital, a digit, a slash, an underscore, a call; or a period inside.
+        self.next_sign = self._padded(_next_index(((self.props & HIGH) > 0) | np.isin(cp, [0x2F, 0x5F, 0x28])))
+        self.next_inner = self._padded(_next_index((cp == 46) & np.append(alnum[1:], False)))
+        wordlike = alnum | (self.props & MARK > 0) | np.isin(cp, [46, 45, 0xB0])
+        self.last_gap = _last_index(~wordlike)
+        self.last_solid = _last_index(~white)
+        self.last_other = _last_index((self.props & ALPHA) == 0)
+        self.last_hyphen = _last_index(cp == 45)
+        self.last_not_digit = _last_index((self.props & NUMBER) == 0)
+
+    def _padded(self, index: np.ndarray) -> np.ndarray:
+        return np.append(index, [self.n] * 4)
+
+    def starts_like(self, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """How the text at each position begins: 2 like a sentence, 1 like a sentence without case, 0 like its continuation."""
+        k = np.minimum(self.next_word[at], stop)
+        inside = np.minimum(k, self.n - 1)
+        p = self.props[inside]
+        limit = np.minimum(self.next_white[k], stop)
+        identifier = (self.next_sign[np.minimum(k + 1, self.n)] < limit) | (self.next_inner[np.minimum(k + 3, self.n)] < limit - 1)
+        out = np.where(p & LOW, np.where(identifier, 2, 0), 1)
+        out[(k >= stop) | self.inverted[inside] | ((p & HIGH) > 0)] = 2
+        out[self.kind[np.minimum(at, self.n - 1)] == CONT] = 0
+        return out
+
+    def goes_on(self, dot: np.ndarray, lowest: np.ndarray) -> np.ndarray:
+        """Does the word before each period say that the sentence goes on?"""
+        prior = np.maximum(dot - 1, 0)
+        start = np.maximum(self.last_gap[prior] + 1, lowest)
+        empty = start >= dot
+        before = np.maximum(start - 1, 0)
+        solid = np.where(start > lowest, np.maximum(self.last_solid[before], lowest - 1), lowest - 1)  # the last character before the white space
+        spaced = (solid >= lowest) & (solid < start - 1)
+        there = np.maximum(solid, 0)
+
+        # A number after a word like "am" or "der", before a capital.
+        digits = ~empty & (self.last_not_digit[prior] < start)
+        following = self.next_solid[dot + 1]
+        capital = (following < self.n) & (self.kind[np.minimum(following, self.n - 1)] == UPPER) & (following > dot)
+        word = np.maximum(self.last_other[there] + 1, lowest)
+        named = WORDS.says[WORDS.run(self.low, word, np.where(spaced, there + 1, word))] & ORDINAL > 0
+        ordinal = digits & (dot - start <= 4) & spaced & named & capital
+
+        # The word itself, after its last hyphen, or after a letter with a period ("т. д.", "p. ex.").
+        own = WORDS.says[WORDS.run(self.low, start, dot)]
+        tail = np.maximum(self.last_hyphen[prior] + 1, start)
+        last = WORDS.says[WORDS.run(self.low, tail, dot)]
+        letter = np.maximum(there - 1, 0)
+        pair = spaced & (there - 1 >= lowest) & (self.cp[there] == 46) & ((self.props[letter] & ALPHA) > 0)
+        pair &= (letter - 1 < lowest) | ((self.props[np.maximum(letter - 1, 0)] & ALNUM) == 0)
+        first = WORDS.table[WORDS.classes(np.full(len(dot), 46, np.uint32)), WORDS.table[WORDS.classes(self.low[letter]), 1]]
+        both = np.where(pair, WORDS.says[WORDS.run(self.low, start, dot, first)], 0)
+        # The first of the three that is listed decides; a word that may end a sentence beats its other reading.
+        said = np.select([both & MAY > 0, both & ON > 0, own & MAY > 0, own & ON > 0, last & MAY > 0, last & ON > 0], [MAY, ON, MAY, ON, MAY, ON], 0)
+        initial = (dot - start == 1) & ((self.props[prior] & ALPHA) > 0) & ~(spaced & ((self.props[there] & NUMBER) > 0))
+        return np.where(digits, ordinal, ~empty & ((said == ON) | ((said == 0) & initial)))
 
 
 def sentence_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -351,71 +422,48 @@ def sentence_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.
     outer = (before > 0) & (after == 0)
     cls[outer] = C_CLOSE
 
-    nxt_solid = np.append(_next_index(solid), n)
     in_cased = cased[block]
+    around = Around(cp, kind)
+    terminator = np.isin(kind, [STOP, WEAK, DOTS])
     # Outermost closing marks after a terminator.
-    for p in np.flatnonzero(outer & in_cased):
-        stop = block_end[block[p]]
-        q = p - 1
-        while q > 0 and (kind[q] in (CLOSER, WHITE, MARKS) or steps[q] < 0):
-            q -= 1
-        if kind[q] not in (STOP, WEAK, DOTS):
-            continue
-        e = p + 1
-        x = nxt_solid[e]
-        if x >= stop:
-            cls[p] = C_CLOSE_ANY
-            continue
-        if kind[x] in (STOP, WEAK, DOTS, CLOSER, CONT):
-            continue
-        if whole.startswith(QUOTED_ON, x):
-            continue
-        like = _starts_like(whole, x, stop)
-        if like == 2 and (x > e or kind[x] in (OPENER, UPPER, DIGIT)):
-            wide = int(cp[p]) >= 0x3000 or kind[q] == STOP
-            cls[p] = C_CLOSE_ANY if x > e or not wide else C_CLOSE_FIRST
-        elif like == 1 or (like == 2 and x == e):
-            cls[p] = C_CLOSE_FIRST
+    p = np.flatnonzero(outer & in_cased)
+    if len(p):
+        stop, e = block_end[block[p]], p + 1
+        q = np.maximum(_last_index(~(np.isin(kind, [CLOSER, WHITE, MARKS]) | (steps < 0)))[np.maximum(p - 1, 0)], 0)
+        x = np.minimum(around.next_solid[e], n)
+        at_x = np.minimum(x, n - 1)
+        last, gap, kx = x >= stop, x > e, kind[at_x]
+        like = around.starts_like(x, stop)
+        pad = np.append(cp, 0)
+        held = np.isin(kx, [STOP, WEAK, DOTS, CLOSER, CONT])
+        for on in QUOTED_ON:
+            held |= (pad[at_x] == ord(on[0])) & ((len(on) == 1) | (pad[at_x + 1] == ord(on[-1])))
+        wide = (cp[p] >= 0x3000) | (kind[q] == STOP)
+        sure = (like == 2) & (gap | np.isin(kx, [OPENER, UPPER, DIGIT]))
+        what = np.select([last, held, sure & (gap | ~wide), sure, (like == 1) | ((like == 2) & ~gap)], [C_CLOSE_ANY, C_CLOSE, C_CLOSE_ANY, C_CLOSE_FIRST, C_CLOSE_FIRST], C_CLOSE)
+        cls[p] = np.where(terminator[q], what, C_CLOSE)
     # Runs of terminators outside of pairs.
-    term = np.isin(kind, [STOP, WEAK, DOTS]) & (before == 0) & (after == 0) & in_cased
-    pos = np.flatnonzero(term)
+    pos = np.flatnonzero(terminator & (before == 0) & (after == 0) & in_cased)
     if len(pos):
-        last = pos[np.append((np.diff(pos) > 1) | (block[pos][1:] != block[pos][:-1]), True)]
-        first = pos[np.append(True, (np.diff(pos) > 1) | (block[pos][1:] != block[pos][:-1]))]
-        for a, b in zip(first.tolist(), last.tolist()):
-            k = block[b]
-            stop = int(block_end[k])
-            e = b + 1
-            while e < stop and kind[e] == CLOSER and steps[e] == 0:
-                e += 1  # closing marks whose partner is missing
-            x = int(nxt_solid[e]) if e < n else n
-            if x >= stop:
-                cls[e - 1] = C_END
-                continue
-            run = kind[a : b + 1]
-            if (run == STOP).any():
-                if kind[x] not in (CONT, CLOSER):
-                    cls[e - 1] = C_END
-                continue
-            gap = x > e
-            weak = (run == WEAK).any()
-            if not gap:
-                if weak and kind[x] in (UNICASE, OPENER):
-                    cls[e - 1] = C_END
-                continue
-            like = _starts_like(whole, x, stop)
-            if not like:
-                continue
-            dots = b > a or cp[b] != 46
-            if dots and not weak:
-                if like == 2:
-                    cls[e - 1] = C_END
-                continue
-            if not weak:
-                says = _goes_on(whole, a, int(block_start[k]), int(block_start[k]))
-                if says == 1:
-                    continue
-            cls[e - 1] = C_END
+        apart = (np.diff(pos) > 1) | (block[pos][1:] != block[pos][:-1])
+        a, b = pos[np.append(True, apart)], pos[np.append(apart, True)]
+        stop = block_end[block[b]]
+        # Closing marks whose partner is missing belong to the run.
+        e = np.minimum(np.append(_next_index(~((kind == CLOSER) & (steps == 0))), n)[b + 1], stop)
+        x = np.minimum(around.next_solid[e], n)
+        kx, last, gap = kind[np.minimum(x, n - 1)], x >= stop, x > e
+        total = lambda k: np.append(0, np.cumsum(kind == k))
+        stops, weaks = total(STOP), total(WEAK)
+        hard, weak = stops[b + 1] > stops[a], weaks[b + 1] > weaks[a]
+        like = around.starts_like(x, stop)
+        dots = (b > a) | (cp[b] != 46)
+        on = np.zeros(len(a), bool)
+        asked = np.flatnonzero(~last & ~hard & gap & (like > 0) & ~dots & ~weak)
+        on[asked] = around.goes_on(a[asked], block_start[block[a[asked]]])
+        ends_here = np.select(
+            [last, hard, ~gap, like == 0, dots & ~weak, ~weak], [True, ~np.isin(kx, [CONT, CLOSER]), weak & np.isin(kx, [UNICASE, OPENER]), False, like == 2, ~on], True
+        )
+        cls[e[ends_here] - 1] = C_END
     # The transducer over the solid characters of the paragraphs, set back at each block.
     use = np.flatnonzero(solid)
     c, b = cls[use], block[use]

@@ -18,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from srcquarry.llm.scan import code_points, states_before
-from srcquarry.runtime import spread
+from srcquarry.runtime import Scratch, spread
 
 #: Place of the vocabulary files; every entry point takes it as a parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -201,11 +201,27 @@ def batched(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield a, len(texts)
 
 
-def encode_column(df: DataFrame, key: str, text: str, what: str = "ids", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+#: Keys of repeated rows that are broadcast at most; more are joined by a shuffle.
+MOST_REPEATED = 1_000_000
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """The distinct rows of ``df``, spread over the cluster. Only rows whose ``key`` occurs more than once are shuffled."""
+    scratch = Scratch(df.sparkSession, "once")
+    many, n = scratch.write_counted(df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("__key"), "many")
+    if not n:
+        return spread(df)
+    many = F.broadcast(many) if n <= MOST_REPEATED else many
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return spread(df).join(many, same, "left_anti").unionByName(df.join(many, same, "left_semi").distinct())
+
+
+def encode_column(df: DataFrame, key: str, text: str, what: str = "ids", vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}", even: bool = False) -> DataFrame:
     """``key`` with the encoding of ``text`` of each row.
 
     what = "ids": ids array<int>; "offsets": also offsets array<int>, the code point offset in the text at
-    which the slice of each id starts, for decoding and alignment; "count": n_tokens long only.
+    which the slice of each id starts, for decoding and alignment; "count": n_tokens long only. ``even``: the rows are
+    spread over the cluster already.
     """
     kind = df.schema[key].dataType
     schema = T.StructType([T.StructField(key, kind)])
@@ -234,7 +250,8 @@ def encode_column(df: DataFrame, key: str, text: str, what: str = "ids", vocabul
                         cols.append(lists(offs, counts))
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return spread(df.select(key, text)).mapInArrow(run, schema)
+    rows = df.select(key, text)
+    return (rows if even else spread(rows)).mapInArrow(run, schema)
 
 
 def decode(ids: list[int], vocabulary: str = f"{TOKENIZERS}/{VOCABULARY}") -> str:

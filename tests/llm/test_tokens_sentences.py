@@ -126,3 +126,27 @@ def test_split_sentences(spark):
     got = sorted((r.doc_id, r.start_pos, r.end_pos) for r in sentences.split_sentences(df).collect())
     assert got == [(1, 0, 6), (1, 7, 13), (5, 0, 59999)]
     assert sentences.split_sentences(df.limit(0)).count() == 0
+
+
+def test_once_keeps_different_rows_of_a_key(spark):
+    rows = [(1, "a"), (1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "d"), (None, "e"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, tokens.once(df, "doc_id").collect())) == sorted(map(str, df.distinct().collect()))
+    assert sorted(r.text for r in tokens.once(df.filter("text in ('b', 'c')"), "doc_id").collect()) == ["b", "c"]
+    assert tokens.once(df.limit(0), "doc_id").count() == 0
+
+
+def test_rules_look_as_far_as_they_have_to():
+    far = "x" * 200
+    for text, cut in ((f"It ends. {far}/path goes on.", 8), (f"It ends. {far} goes on.", None), (f"It ends.{' ' * 90}Then more.", 8), (f"It ends. {'(' * 30}Then more.", 8)):
+        _, a, b = sentences.sentence_spans([text])
+        assert (b[0] == cut) if cut else len(b) == 1, text
+
+
+def test_word_automaton_equals_the_lists():
+    words = sorted(sentences.GOES_ON | sentences.MAY_END | sentences.ORDINAL_BEFORE | {"zz", "e.gx", "", "etcetera", "d"})
+    low = sentences.code_points("".join(words))
+    ends = np.cumsum([len(w) for w in words])
+    said = sentences.WORDS.says[sentences.WORDS.run(low, ends - [len(w) for w in words], ends)]
+    for w, x in zip(words, said.tolist()):
+        assert x == (w in sentences.GOES_ON) * 1 + (w in sentences.MAY_END) * 2 + (w in sentences.ORDINAL_BEFORE) * 4, w
