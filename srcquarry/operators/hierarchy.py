@@ -19,7 +19,9 @@ from srcquarry.runtime import Scratch, slots
 #: Consumed edges are dropped from the working set once they are this share of it.
 PRUNE_SHARE = 0.5
 #: Frontiers of at most so many rows take STEPS levels in one plan.
-SMALL, STEPS = 100_000, 6
+SMALL, STEPS = 100_000, 10
+#: Links of a partition: up to as many partitions as there are cores from FEW on, more partitions only beyond MANY.
+FEW, MANY = 25_000, 1_000_000
 #: Links a parent has at least before it counts as one with more than its share.
 HOT_LINKS = 10_000
 
@@ -66,6 +68,11 @@ def _several(frontier: DataFrame, live: DataFrame, level: int, k: int, keep_path
     return rows.select(*cols).distinct() if k > 1 else rows.select(*cols)
 
 
+def _partitions(links: int, cores: int) -> int:
+    """Partitions for so many links: by their number, not by the size of the cluster, so that small ones take few tasks."""
+    return max(1, -(-links // MANY), min(cores, -(-links // FEW)))
+
+
 def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     """(symbol_id, root_symbol_id, depth[, path array]) for every id in (parent, child) ``links``.
 
@@ -80,10 +87,11 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
-    n = max(slots(spark), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cores = slots(spark)
     # All rows that name a node: those with a null end or a parent that is not taken keep nodes that nothing links.
     named = scratch.write(links.select("child", "parent").filter("child is not null or parent is not null"), "named")
     one, left = scratch.write_counted(_linked(named), "links")
+    n = _partitions(left, cores)
 
     nodes = named.filter("child is not null").select(F.col("child").alias("symbol_id"), F.col("parent").isNotNull().cast("int").alias("is_child"))
     nodes = nodes.unionByName(named.filter("parent is not null").select(F.col("parent").alias("symbol_id"), F.lit(0).alias("is_child")))
@@ -96,12 +104,18 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     schema = roots.schema
     frontier, size = scratch.write_counted(roots, "level/l=0")
 
-    def keep(df: DataFrame) -> DataFrame:
+    # Sizes are known and hot parents are apart, so the levels are planned once, not anew after each of their shuffles.
+    loop = scratch.within(spark.newSession())
+    for name, value in (("adaptive.enabled", "false"), ("shuffle.partitions", n)):
+        loop.spark.conf.set(f"spark.sql.{name}", value)
+    one, frontier = loop.read("links", one.schema), loop.read("level/l=0", schema)
+
+    def keep(df: DataFrame, n: int) -> DataFrame:
         return df.repartition(n, "parent").sortWithinPartitions("parent").persist()
 
     share = max(HOT_LINKS, left // (2 * n))
-    hot, n_hot = scratch.write_counted(one.groupBy("parent").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > share).select("parent"), "hot")
-    live = keep(one.join(F.broadcast(hot), "parent", "left_anti") if n_hot else one)
+    hot, n_hot = loop.write_counted(one.groupBy("parent").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > share).select("parent"), "hot")
+    live = keep(one.join(F.broadcast(hot), "parent", "left_anti") if n_hot else one, n)
     wide = one.join(F.broadcast(hot), "parent", "left_semi").persist() if n_hot else None
     used = level = 0
     while size and left:
@@ -111,13 +125,13 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
             few = frontier.join(F.broadcast(hot.withColumnRenamed("parent", "symbol_id")), "symbol_id", "left_semi").limit(n_hot)
             rows = rows.unionByName(_several(F.broadcast(few), wide, level, 1, keep_path).filter("symbol_id is not null"))
         count = F.count(F.lit(1))
-        new, seen = scratch.write_observed(rows, f"level/l={level + 1}", n=count, last=F.count_if(F.col("depth") == level + k))
+        new, seen = loop.write_observed(rows, f"level/l={level + 1}", n=count, last=F.count_if(F.col("depth") == level + k))
         level += k
         frontier, size = new.filter(F.col("depth") == level) if k > 1 else new, seen["last"]
         used += seen["n"]
         if size and used >= PRUNE_SHARE * left:
-            gone = scratch.read("level", schema).drop("l").select(F.col("symbol_id").alias("child"))
-            rest = keep(live.join(gone, "child", "left_anti"))
+            gone = loop.read("level", schema).drop("l").select(F.col("symbol_id").alias("child"))
+            rest = keep(live.join(gone, "child", "left_anti"), _partitions(max(1, left - used), cores))
             left, used = rest.count() + (n_hot and left), 0
             live.unpersist()
             live = rest

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import tempfile
 import uuid
 
@@ -48,6 +49,12 @@ class Scratch:
         self._fs.mkdirs(self._path)
         self._fs.deleteOnExit(self._path)
 
+    def within(self, spark: SparkSession) -> Scratch:
+        """The same folder, read by another session."""
+        other = copy.copy(self)
+        other.spark = spark
+        return other
+
     def write(self, df: DataFrame, part: str) -> DataFrame:
         """Write ``df`` as Parquet below this folder and return it as read again (lineage cut, size known)."""
         df.write.mode("overwrite").parquet(f"{self.path}/{part}")
