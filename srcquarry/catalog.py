@@ -16,8 +16,12 @@ class Catalog:
         self.spark, self.path = spark, path.rstrip("/")
 
     def _exists(self, name: str) -> bool:
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.parquet")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        jvm = self.spark.sparkContext._jvm
+        p, aside = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.parquet{end}") for end in ("", ".old"))
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(p) and fs.exists(aside):
+            fs.rename(aside, p)  # a replacement that did not come to its end
+        return fs.exists(p)
 
     def table(self, name: str) -> DataFrame:
         if not self._exists(name):
@@ -49,8 +53,11 @@ class Catalog:
         jvm = self.spark.sparkContext._jvm
         old, new = jvm.org.apache.hadoop.fs.Path(target), jvm.org.apache.hadoop.fs.Path(fresh)
         fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
+        aside = jvm.org.apache.hadoop.fs.Path(f"{target}.old")
+        fs.delete(aside, True)
+        fs.rename(old, aside)
         fs.rename(new, old)
+        fs.delete(aside, True)
 
     def replace_repo(self, name: str, df: DataFrame) -> None:
         """Replace only the partitions that the rows touch."""

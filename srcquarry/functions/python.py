@@ -247,10 +247,10 @@ class LimitExceeded(Exception):
     """A provider refused a batch or text as too large."""
 
 
-def embed_all(texts: list[str], provider: Callable[[list[str]], list[list[float]]], limit: int = 30_000, least: int = 32) -> list[tuple[int, str, list[float]]]:
-    """(index of the text, piece, vector): batches refused as too large are halved, single texts cut; a text that
-    is refused at ``least`` code points is left out."""
-    out: list[tuple[int, str, list[float]]] = []
+def embed_all(texts: list[str], provider: Callable[[list[str]], list[list[float]]], limit: int = 30_000, least: int = 32) -> list[tuple[int, str, list[float] | None]]:
+    """(index of the text, piece, vector) in order: batches refused as too large are halved, single texts cut; a piece that
+    is refused below ``least`` code points has no vector."""
+    out: list[tuple[int, str, list[float] | None]] = []
     work = [([(i, t) for i, t in enumerate(texts)], limit)]
     while work:
         part, cap = work.pop()
@@ -268,19 +268,24 @@ def embed_all(texts: list[str], provider: Callable[[list[str]], list[list[float]
                 if cap >= least:
                     i, t = part[0]
                     work.append(([(i, t[a:b]) for a, b in segments(t, cap)], cap))
-    return sorted(out, key=lambda r: (r[0], r[1]))
+                else:
+                    out.append((*part[0], None))
+    return out
 
 
 def embedded(df: DataFrame, key: str, text: str, provider: Callable[[list[str]], list[list[float]]] | None = None, batch: int = 64) -> DataFrame:
-    """(key, piece, embedding); the provider is set up once per worker batch stream."""
-    schema = T.StructType([T.StructField(key, df.schema[key].dataType)]).add("piece", T.StringType()).add("embedding", T.ArrayType(T.FloatType()))
+    """(key, nth, pieces, piece, embedding): one row per text, several for a text that had to be cut; the provider is set up once
+    per worker batch stream."""
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType)]).add("nth", T.IntegerType()).add("pieces", T.IntegerType()).add("piece", T.StringType()).add("embedding", T.ArrayType(T.FloatType()))
     call = provider or (lambda ts: [hash_vector(t) for t in ts])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for a in range(0, len(b), batch):
                 part = b.iloc[a : a + batch]
-                rows = [(part[key].iloc[i], t, v) for i, t, v in embed_all([x if x and x.strip() else " " for x in part[text]], call)]
+                found = embed_all([x if x and x.strip() else " " for x in part[text]], call)
+                own = [i for i, _, _ in found]
+                rows = [(part[key].iloc[i], k - own.index(i), own.count(i), t, v) for k, (i, t, v) in enumerate(found)]
                 yield pd.DataFrame(rows, columns=schema.names)
 
     return df.select(key, text).mapInPandas(run, schema)

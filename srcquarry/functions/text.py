@@ -153,12 +153,12 @@ def keyword_boost(path: C, body: C) -> Column:
 # Word boundaries are those of ASCII, whatever the Java version.
 TYPE_TOKEN = r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z0-9]*(?:\.[A-Za-z0-9]+)*)(?![A-Za-z0-9_])"
 #: Types of languages and libraries that name no type of a repository.
-COMMON_TYPES = (
-    "String Object Integer Long Boolean Double Float Number Byte Short Character Void List Map Set Collection Optional Stream "
-    "Iterable Iterator Array ArrayList HashMap HashSet Date LocalDate LocalDateTime Instant Duration BigDecimal "
-    "Exception RuntimeException Throwable Error Override Test Promise Record Task IEnumerable "
-    "IList IDictionary Dictionary Guid DateTime Func Action"
-).split()
+COMMON_TYPES = [
+    "String", "Object", "Integer", "Long", "Boolean", "Double", "Float", "Number", "Byte", "Short", "Character", "Void", "List", "Map", "Set",
+    "Collection", "Optional", "Stream", "Iterable", "Iterator", "Array", "ArrayList", "HashMap", "HashSet", "Date", "LocalDate", "LocalDateTime",
+    "Instant", "Duration", "BigDecimal", "Exception", "RuntimeException", "Throwable", "Error", "Override", "Test", "Promise", "Record", "Task",
+    "IEnumerable", "IList", "IDictionary", "Dictionary", "Guid", "DateTime", "Func", "Action",
+]
 PRIMITIVES = ["void", "int", "long", "boolean", "double", "float", "byte", "short", "char"]
 
 
@@ -168,10 +168,11 @@ def signature_types(signature: C) -> Column:
     return F.array_distinct(F.filter(found, lambda t: ~F.lower(t).isin(PRIMITIVES)))
 
 
-def body_types(content: C, limit: int = 40) -> Column:
-    """Leading segments of the type names in a body, distinct, in order, without common ones."""
+def body_types(content: C, limit: int | None = 40) -> Column:
+    """Leading segments of the type names in a body, distinct, in order, without common ones; the first ``limit``, all with None."""
     found = F.transform(F.regexp_extract_all(_c(content), F.lit(TYPE_TOKEN), F.lit(1)), lambda t: F.substring_index(t, ".", 1))
-    return F.slice(F.array_distinct(F.filter(found, lambda t: ~F.lower(t).isin(PRIMITIVES) & ~t.isin(COMMON_TYPES))), 1, limit)
+    own = F.array_distinct(F.filter(found, lambda t: ~F.lower(t).isin(PRIMITIVES) & ~t.isin(COMMON_TYPES)))
+    return own if limit is None else F.slice(own, 1, limit)
 
 
 def branch_intents(content: C) -> Column:

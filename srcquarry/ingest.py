@@ -73,8 +73,11 @@ def index(store: Store, repo_id: str, files: DataFrame, parsed: DataFrame, provi
         store.upsert_files(fresh.join(module, "file", "left").select("file", "sha", "lang", "module", "is_test"))
         chunks = chunk_rows(symbols.join(fresh.select("file", "is_test"), "file"), fresh, repo_id)
         vectors = embedded(chunks.withColumn("input", X.embedding_input("content")), "id", "input", provider)
-        one = vectors.groupBy("id").agg(F.min_by("embedding", "piece").alias("embedding"))
-        store.insert_chunks(chunks.join(one, "id"), dim)
+        # A text that the provider refuses as too large comes back in pieces, which become chunks of their own.
+        full = chunks.join(vectors, "id")
+        cut = F.col("pieces") > 1
+        full = full.withColumn("content", F.when(cut, F.col("piece")).otherwise(F.col("content"))).withColumn("id", F.when(cut, F.concat_ws("-", "id", "nth")).otherwise(F.col("id")))
+        store.insert_chunks(full.drop("nth", "pieces", "piece"), dim)
         counts["tests_source"] = store.materialize_tests()
     changes.unpersist()
     return {"added": 0, "changed": 0, "removed": 0} | counts | {"symbols": store.symbols.count(), "edges": store.edges.count(), "chunks": store.chunks.filter(F.col("repo_id") == repo_id).count(), "forced": int(force)}

@@ -31,9 +31,12 @@ PROFILE_PRIORITY: dict[str, dict[str, int | tuple[int, int]]] = {
 }
 #: Confidence of edge types, 2 for all others.
 CONFIDENCE = {
-    3: "CALLS INJECTS INJECTS_NAMED ROUTE_TO_HANDLER HANDLER_USES_DTO USES_GUARD USES_PIPE USES_INTERCEPTOR TARGETS_API_ROUTE CALLS_API USES_SELECTOR RENDERS USES_HOOK ACCEPTS_PROPS_TYPE IMPLEMENTS_SERVICE REGISTERS_SERVICE".split(),
-    1: "IMPORTS DEPENDS_ON DEPENDS_ON_DEV PACKAGE_MAIN PACKAGE_MODULE PACKAGE_EXPORT PACKAGE_ENTRY PACKAGE_BIN".split(),
-}
+    3: [
+        "CALLS", "INJECTS", "INJECTS_NAMED", "ROUTE_TO_HANDLER", "HANDLER_USES_DTO", "USES_GUARD", "USES_PIPE", "USES_INTERCEPTOR", "TARGETS_API_ROUTE",
+        "CALLS_API", "USES_SELECTOR", "RENDERS", "USES_HOOK", "ACCEPTS_PROPS_TYPE", "IMPLEMENTS_SERVICE", "REGISTERS_SERVICE",
+    ],
+    1: ["IMPORTS", "DEPENDS_ON", "DEPENDS_ON_DEV", "PACKAGE_MAIN", "PACKAGE_MODULE", "PACKAGE_EXPORT", "PACKAGE_ENTRY", "PACKAGE_BIN"],
+}
 #: Names under which a profile is asked for; all others mean java_unit.
 PROFILE_ALIASES = {
     "http_api": ["http_api", "http-api", "api", "backend", "nest_api", "spring"],
@@ -123,22 +126,40 @@ def named_after(symbols: DataFrame, files: DataFrame) -> DataFrame:
     return test.join(prod, "fq_name").select("caller_symbol_id", "callee_symbol_id")
 
 
-def containers(symbols: DataFrame) -> DataFrame:
-    """(id, container_id): the innermost type of the same file around each other symbol.
+#: Kinds that contain others, in whatever case and as they are written.
+CONTAINER_KINDS = ["class", "interface", "struct", "record"]
+FRAMEWORK_CONTAINER_KINDS = ["REACT_COMPONENT", "ANGULAR_COMPONENT", "ANGULARJS_CONTROLLER", "NEST_CONTROLLER", "NEST_MODULE", "NEST_GATEWAY"]
+
+
+def is_container(kind: str) -> Column:
+    k = F.trim(kind)
+    return F.lower(k).isin(CONTAINER_KINDS) | k.isin(FRAMEWORK_CONTAINER_KINDS)
+
+
+def containers(symbols: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(id, container_id): the innermost container of the same file around each other symbol, by lines.
 
+    With ``edges``, a symbol that no container spans takes the last one of its file that has a CONTAINS edge to it.
     Joined on (file, line block): a container is listed under each block of lines it spans, so a file with
     very many symbols is no single group of pairs.
     """
     block = 64
-    s = placed_symbols(symbols).filter("file is not null and start_line is not null and end_line >= start_line")
-    outer = s.filter(F.lower("kind").isin("class", "interface", "enum", "record", "struct", "module")).select(
+    placed = placed_symbols(symbols).filter("file is not null")
+    s = placed.filter("start_line is not null and end_line >= start_line")
+    outer = s.filter(is_container("kind")).select(
         "file", F.col("id").alias("container_id"), F.col("start_line").alias("cs"), F.col("end_line").alias("ce"),
         F.explode(F.sequence(F.floor(F.col("start_line") / block), F.floor(F.col("end_line") / block))).alias("block"),
     )
     inner = s.select("file", "id", "start_line", "end_line", F.floor(F.col("start_line") / block).alias("block"))
     hits = inner.join(outer, ["file", "block"]).filter("cs <= start_line and end_line <= ce and id <> container_id")
-    hits = hits.filter("not (cs = start_line and ce = end_line and container_id > id)")
-    return latest(hits, ["id"], [F.desc("cs"), F.col("ce"), F.col("container_id")]).select("id", "container_id")
+    hits = hits.filter("not (cs = start_line and ce = end_line and container_id > id)").select("id", "container_id", F.lit(0).alias("step"), "cs", "ce")
+    if edges is not None:
+        e = distinct_edges(edges).filter("edge_type = 'CONTAINS' and caller_symbol_id <> callee_symbol_id")
+        above = placed.filter(is_container("kind")).select(F.col("id").alias("caller_symbol_id"), "file", F.col("start_line").alias("cs"), F.col("end_line").alias("ce"))
+        below = placed.select(F.col("id").alias("callee_symbol_id"), "file")
+        linked = e.join(above, "caller_symbol_id").join(below, ["callee_symbol_id", "file"])
+        hits = hits.unionByName(linked.select(F.col("callee_symbol_id").alias("id"), F.col("caller_symbol_id").alias("container_id"), F.lit(1).alias("step"), "cs", "ce"))
+    return latest(hits, ["id"], [F.col("step"), F.desc_nulls_last("cs"), F.col("ce").asc_nulls_last(), F.col("container_id")]).select("id", "container_id")
 
 
 def owning_package(files: DataFrame, packages: DataFrame) -> DataFrame:

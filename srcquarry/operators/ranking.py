@@ -58,11 +58,20 @@ def nearest_to_each(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
             if not len(b) or not len(q):
                 continue
             x = np.stack(b["embedding"].to_numpy()).astype(np.float64)
-            d = np.sqrt(np.maximum(0, ((x[None] - q[:, None]) ** 2).sum(2) if len(x) * q.size < 5_000_000 else (x**2).sum(1)[None] + (q**2).sum(1)[:, None] - 2 * q @ x.T))
+            d = np.sqrt(np.maximum(0, (x**2).sum(1)[None] + (q**2).sum(1)[:, None] - 2 * q @ x.T)).round(6)
+            keys = b[key].to_numpy()
+            place = np.empty(len(b), np.int64)
+            place[np.argsort(keys, kind="stable")] = np.arange(len(b))
             for name, part in b.groupby(group).indices.items() if group else [(None, np.arange(len(b)))]:
                 sub = d[:, part]
-                take = np.argsort(sub, axis=1, kind="stable")[:, : k + 8]
-                out = pd.DataFrame({"query_id": np.repeat(ids, take.shape[1]), key: b[key].to_numpy()[part[take.ravel()]], "distance": np.take_along_axis(sub, take, 1).ravel()})
+                # All rows as near as the k-th, then exactly k of them by distance and key.
+                last = np.partition(sub, k - 1, axis=1)[:, k - 1 : k] if sub.shape[1] > k else np.full((len(q), 1), np.inf)
+                i, j = np.nonzero(sub <= last)
+                order = np.lexsort((place[part[j]], sub[i, j], i))
+                i, j = i[order], j[order]
+                nth = np.arange(len(i)) - np.searchsorted(i, i)
+                i, j = i[nth < k], j[nth < k]
+                out = pd.DataFrame({"query_id": ids[i], key: keys[part[j]], "distance": sub[i, j]})
                 if group:
                     out[group] = name
                 yield out
@@ -70,7 +79,7 @@ def nearest_to_each(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     cand = df.select(*cols).filter(F.size("embedding") == q.shape[1] if len(rows) else F.lit(False)).mapInPandas(run, schema)
     keys = ["query_id"] + ([group] if group else [])
     w = Window.partitionBy(*keys).orderBy("distance", key)
-    return cand.withColumn("distance", F.round("distance", 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def pool_size(limit: int) -> int:

@@ -128,9 +128,10 @@ def trace_semi_join(t: Tables):
     return traced(t.edges, t.symbols)
 
 
+_HOLDS = "(lower(trim({0})) IN ('class', 'interface', 'struct', 'record') OR trim({0}) IN ('REACT_COMPONENT', 'ANGULAR_COMPONENT', 'ANGULARJS_CONTROLLER', 'NEST_CONTROLLER', 'NEST_MODULE', 'NEST_GATEWAY'))"
 _CONT = f"""{_SYM}, c AS (
         SELECT i.id, arg_min(o.id, (-o.start_line, o.end_line, o.id)) AS container_id FROM s i JOIN s o ON o.file = i.file AND o.start_line <= i.start_line AND i.end_line <= o.end_line
-        WHERE o.id <> i.id AND i.end_line >= i.start_line AND o.end_line >= o.start_line AND lower(o.kind) IN ('class', 'interface', 'enum', 'record', 'struct', 'module')
+        WHERE o.id <> i.id AND i.end_line >= i.start_line AND o.end_line >= o.start_line AND {_HOLDS.format('o.kind')}
           AND NOT (o.start_line = i.start_line AND o.end_line = i.end_line AND o.id > i.id) GROUP BY i.id)"""
 _TRACED = f"""{_CONT}, hit AS (SELECT DISTINCT callee_symbol_id AS id FROM e WHERE edge_type = 'TESTS_SOURCE'),
     traced AS (SELECT id FROM hit UNION SELECT id FROM c WHERE container_id IN (SELECT id FROM hit)
@@ -140,11 +141,14 @@ SQL["trace_semi_join"] = f"WITH {_TRACED} SELECT id FROM traced"
 
 @_q
 def container_range_join(t: Tables):
-    """Innermost type around each symbol, by file and line range."""
-    return G.containers(t.symbols)
+    """Innermost container around each symbol, by file and line range, else by a CONTAINS edge in its file."""
+    return G.containers(t.symbols, t.edges)
 
 
-SQL["container_range_join"] = f"WITH {_CONT} SELECT id, container_id FROM c"
+_HELD = f"""{_CONT}, held AS (SELECT id, container_id FROM c UNION ALL
+        SELECT i.id, arg_min(o.id, (-coalesce(o.start_line, -1), coalesce(o.end_line, 2000000000), o.id)) FROM e JOIN s o ON o.id = caller_symbol_id JOIN s i ON i.id = callee_symbol_id AND i.file = o.file
+        WHERE edge_type = 'CONTAINS' AND o.id <> i.id AND {_HOLDS.format('o.kind')} AND i.id NOT IN (SELECT id FROM c) GROUP BY i.id)"""
+SQL["container_range_join"] = f"WITH {_HELD} SELECT id, container_id FROM held"
 
 
 @_q
@@ -221,31 +225,20 @@ SQL["import_suffix_resolution"] = r"""
     FROM i JOIN s ON import_name = s.fq_name OR starts_with(import_name, s.fq_name || '.') WHERE import_name <> '' GROUP BY 1"""
 
 
-def _type_names(t: Tables, prefix: str):
-    """Types named in signatures, and declared names that start with ``prefix``, to symbols."""
-    s = G.placed_symbols(t.symbols).withColumn("type", F.get_json_object("signature_json", "$.type"))
-    names = s.select(F.explode(X.signature_types("type")).alias("name"), F.regexp_replace("fq_name", r"\.[^.]*$", "").alias("module")).filter("module is not null")
-    declared = s.filter("fq_name is not null").select(F.regexp_extract("fq_name", r"([^.#]*)$", 1).alias("name"), F.lit("com").alias("module")).filter(F.col("name").startswith(prefix))
-    return G.resolve_names(names.unionByName(declared), t.symbols).select("name", "module", "id", "step")
-
-
 @_q
 def type_name_resolution(t: Tables):
-    """Types named in signatures, and declared names that start with 'Fresh', to symbols: exact name, same package, then any package, at most eight (as its SQL; every declared name: type_name_resolution_all)."""
-    return _type_names(t, "Fresh")
-
-
-@_q
-def type_name_resolution_all(t: Tables):
     """Types named in signatures and all declared names to symbols: exact name, same package, then any package (at most eight)."""
-    return _type_names(t, "")
+    s = G.placed_symbols(t.symbols).withColumn("type", F.get_json_object("signature_json", "$.type"))
+    names = s.select(F.explode(X.signature_types("type")).alias("name"), F.regexp_replace("fq_name", r"\.[^.]*$", "").alias("module")).filter("module is not null")
+    declared = s.filter("fq_name is not null").select(F.regexp_extract("fq_name", r"([^.#]*)$", 1).alias("name"), F.lit("com").alias("module"))
+    return G.resolve_names(names.unionByName(declared), t.symbols).select("name", "module", "id", "step")
 
 
 SQL["type_name_resolution"] = f"""WITH {_SYM},
     k AS (SELECT id, fq_name, regexp_extract(fq_name, '([^.#]*)$', 1) AS simple FROM s WHERE lower(kind) IN ('class', 'interface', 'enum', 'record', 'struct')),
     x AS (SELECT DISTINCT unnest(regexp_extract_all(CASE WHEN json_valid(signature_json) THEN json_extract_string(signature_json, '$.type') END, '\\b([A-Z][a-zA-Z0-9]*(?:\\.[A-Za-z0-9]+)*)\\b')) AS name,
             regexp_replace(fq_name, '\\.[^.]*$', '') AS module FROM s WHERE fq_name IS NOT NULL
-          UNION SELECT regexp_extract(fq_name, '([^.#]*)$', 1), 'com' FROM s WHERE regexp_extract(fq_name, '([^.#]*)$', 1) LIKE 'Fresh%'),
+          UNION SELECT regexp_extract(fq_name, '([^.#]*)$', 1), 'com' FROM s WHERE fq_name IS NOT NULL),
     n AS (SELECT * FROM x WHERE lower(name) NOT IN ('void', 'int', 'long', 'boolean', 'double', 'float', 'byte', 'short', 'char')),
     h AS (SELECT name, module, id, 1 AS step FROM n JOIN k ON k.fq_name = name UNION ALL SELECT name, module, id, 2 FROM n JOIN k ON k.fq_name = module || '.' || name
         UNION ALL SELECT name, module, id, 3 FROM (SELECT name, module, id, row_number() OVER (PARTITION BY name, module ORDER BY length(fq_name), fq_name, id) AS r FROM n JOIN k ON simple = name) WHERE r <= 8)
@@ -352,19 +345,12 @@ SQL["edge_type_cap"] = f"""WITH {_SYM}, x AS (SELECT *, {_PRI} AS pri FROM e WHE
 
 @_q
 def bfs_depth2(t: Tables):
-    """Everything within two outgoing edges of each constructor, with the best path (as its SQL; every symbol: bfs_depth2_all)."""
-    targets = G.placed_symbols(t.symbols).filter("lower(kind) = 'constructor'")
-    return G.expand(t.edges, targets, "java_unit", 2).select("target_id", "other_id", "depth", "edge_type", "path")
-
-
-@_q
-def bfs_depth2_all(t: Tables):
     """Everything within two outgoing edges of each symbol, with the best path."""
     return G.expand(t.edges, G.placed_symbols(t.symbols), "java_unit", 2).select("target_id", "other_id", "depth", "edge_type", "path")
 
 
 _CONF = "CASE WHEN edge_type IN ('CALLS','INJECTS','INJECTS_NAMED','ROUTE_TO_HANDLER','HANDLER_USES_DTO','USES_GUARD','USES_PIPE','USES_INTERCEPTOR','TARGETS_API_ROUTE','CALLS_API','USES_SELECTOR','RENDERS','USES_HOOK','ACCEPTS_PROPS_TYPE','IMPLEMENTS_SERVICE','REGISTERS_SERVICE') THEN 3 WHEN edge_type IN ('IMPORTS','DEPENDS_ON','DEPENDS_ON_DEV','PACKAGE_MAIN','PACKAGE_MODULE','PACKAGE_EXPORT','PACKAGE_ENTRY','PACKAGE_BIN') THEN 1 ELSE 2 END"
-SQL["bfs_depth2"] = f"""WITH {_SYM}, tg AS (SELECT id FROM s WHERE lower(kind) = 'constructor'),
+SQL["bfs_depth2"] = f"""WITH {_SYM}, tg AS (SELECT id FROM s WHERE id IS NOT NULL),
     one AS (SELECT tg.id AS target_id, callee_symbol_id AS other_id, 1 AS depth, edge_type, edge_type AS path FROM tg JOIN e ON caller_symbol_id = tg.id WHERE callee_symbol_id <> tg.id
             QUALIFY row_number() OVER (PARTITION BY target_id, other_id ORDER BY {_PRI}, {_CONF} DESC, edge_type, path) = 1),
     two AS (SELECT o.target_id, e.callee_symbol_id AS other_id, 2 AS depth, e.edge_type AS edge_type, o.path || ' -> ' || e.edge_type AS path, o.other_id AS via FROM one o JOIN e ON e.caller_symbol_id = o.other_id
@@ -383,20 +369,13 @@ def _module_links(t: Tables):
 
 @_q
 def dependency_closure(t: Tables):
-    """Modules each module reaches over EXTENDS and IMPLEMENTS edges that lead to an alphabetically later module (as its SQL; all of them: dependency_closure_all)."""
-    m = _module_links(t).filter("a < b")
-    return G.closure(m, m.select(F.col("a").alias("id")).distinct(), "a", "b")
-
-
-@_q
-def dependency_closure_all(t: Tables):
     """Modules each module reaches over EXTENDS and IMPLEMENTS edges between files of different modules, in whichever order and through cycles."""
     m = _module_links(t)
     return G.closure(m, m.select(F.col("a").alias("id")).distinct(), "a", "b")
 
 
 SQL["dependency_closure"] = f"""WITH RECURSIVE {_SYM}, p AS (SELECT s.id, f.module FROM s JOIN f USING (file) WHERE module <> ''),
-    m AS (SELECT DISTINCT x.module AS a, y.module AS b FROM e JOIN p x ON x.id = caller_symbol_id JOIN p y ON y.id = callee_symbol_id WHERE edge_type IN ('EXTENDS', 'IMPLEMENTS') AND x.module < y.module),
+    m AS (SELECT DISTINCT x.module AS a, y.module AS b FROM e JOIN p x ON x.id = caller_symbol_id JOIN p y ON y.id = callee_symbol_id WHERE edge_type IN ('EXTENDS', 'IMPLEMENTS') AND x.module <> y.module),
     r AS (SELECT DISTINCT a AS start, a AS node FROM m UNION SELECT r.start, m.b FROM r JOIN m ON m.a = r.node) SELECT start, node FROM r"""
 
 

@@ -27,12 +27,6 @@ def _typed(t: Tables):
 
 @_q
 def symbols_by_simple_name(t: Tables):
-    """Type symbols named X in any package, shortest name first, for the names that start with 'Fresh' (as its SQL; every name: symbols_by_simple_name_all)."""
-    return _by_simple_name(_typed(t).filter(F.col("simple").startswith("Fresh")))
-
-
-@_q
-def symbols_by_simple_name_all(t: Tables):
     """Type symbols of every simple name in any package, shortest name first, twenty at most of a name."""
     return _by_simple_name(_typed(t))
 
@@ -41,7 +35,7 @@ SQL["symbols_by_simple_name"] = """
     WITH h AS (SELECT DISTINCT regexp_extract(fq_name, '([^.#]*)$', 1) AS simple, id, fq_name, file FROM symbols
                WHERE lower(kind) IN ('class','interface','enum','record','struct','type','type_alias','trait'))
     SELECT simple, id, fq_name, CAST(row_number() OVER (PARTITION BY simple ORDER BY length(fq_name), fq_name, id) AS INT) AS rank
-    FROM h WHERE simple LIKE 'Fresh%' QUALIFY rank <= 20"""
+    FROM h QUALIFY rank <= 20"""
 
 
 @_q

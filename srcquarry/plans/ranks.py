@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from srcquarry.functions import text as X
 from srcquarry.operators import graph as G, ranking as K, retrieval as B, rows as R
 from srcquarry.plans.base import Tables, query
-from srcquarry.plans.joins import _CONT, _SYM, _TRACED
+from srcquarry.plans.joins import _HELD, _SYM, _TRACED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -354,24 +354,66 @@ SQL["container_siblings"] = """WITH c AS (SELECT DISTINCT id, symbol_id, parent_
 
 @_q
 def retrieval_bundle(t: Tables):
-    """Context of every constructor in one long table: target, container, dependencies, chunks, tests (as its SQL; every symbol: retrieval_bundle_all)."""
-    targets = G.placed_symbols(t.symbols).filter("lower(kind) = 'constructor'").select("id")
-    return B.bundle(targets, t.symbols, t.edges, t.chunks)
+    """Context of every symbol in one long table, for unit tests: target, container, dependencies, domain types, similar, fixtures, configuration, chunks, tests."""
+    return B.bundle(t.symbols.select("id").filter("id is not null"), t.symbols, t.edges, t.chunks)
 
 
 @_q
-def retrieval_bundle_all(t: Tables):
-    """Context of every symbol in one long table: target, container, dependencies, chunks, tests."""
-    return B.bundle(t.symbols.select("id").filter("id is not null"), t.symbols, t.edges, t.chunks)
-
+def retrieval_bundle_http(t: Tables):
+    """Context of every symbol for interface tests: edges both ways, siblings in the container and contracts besides."""
+    return B.bundle(t.symbols.select("id").filter("id is not null"), t.symbols, t.edges, t.chunks, "http_api")
+
+
+def _bundle_sql(name: str) -> str:
+    unit = name == "java_unit"
+    table = G.UNIT_PRIORITY if unit else G.PROFILE_PRIORITY[name]
+    pri = "CASE " + " ".join(f"WHEN edge_type = '{k}' THEN " + (f"CASE WHEN inbound THEN {v[0]} ELSE {v[1]} END" if isinstance(v, tuple) else str(v)) for k, v in table.items()) + f" ELSE {6 if unit else 100} END"
+    back = "" if unit else " UNION ALL SELECT callee_symbol_id, caller_symbol_id, edge_type, true FROM e"
+    kinds = ", ".join(f"'{k}'" for k in B.DOMAIN_KINDS)
+    on_path = lambda parts: "(" + " OR ".join(f"contains(lower(file), '{x}')" for x in parts) + ")"
+    similar = ", ".join(f"'{k}'" for k in G.SIMILAR_TYPES[name])
+    lists = [("similar", f"chunk_type IN ({similar})", "0", 5), ("fixture", f"(chunk_type = 'fixture' OR {on_path(B.FIXTURE_PATHS)})", "CAST(coalesce(chunk_type, '') <> 'fixture' AS INT)", 5), ("config", on_path(B.CONFIG_PATHS), "0", 5)]
+    extra = ""
+    if not unit:
+        lists.append(("contract", "chunk_type = 'api_contract'", "0", 8))
+        extra = """ UNION ALL SELECT target_id, 'sibling', CAST(row_number() OVER (PARTITION BY target_id ORDER BY pos) AS INT) AS rank, id FROM (
+            SELECT h.id AS target_id, k.id, k.pos, k.symbol_id FROM held h JOIN (SELECT *, row_number() OVER (PARTITION BY parent_symbol_id ORDER BY file NULLS FIRST, start_line NULLS FIRST, id) AS pos FROM (
+                SELECT DISTINCT id, symbol_id, parent_symbol_id, file, start_line FROM chunks WHERE parent_symbol_id IS NOT NULL) QUALIFY pos <= 48) k ON k.parent_symbol_id = h.container_id) x
+            WHERE NOT EXISTS (SELECT 1 FROM dep WHERE dep.node = x.target_id AND dep.other = x.symbol_id) AND x.symbol_id IS DISTINCT FROM x.target_id QUALIFY rank <= 12"""
+    listed = " UNION ALL ".join(
+        f"SELECT repo_id, lang, '{label}' AS section, CAST(row_number() OVER (PARTITION BY repo_id, lang ORDER BY {first}, file NULLS FIRST, start_line NULLS FIRST, id) AS INT) AS rank, id FROM ck WHERE {cond} QUALIFY rank <= {n}" for label, cond, first, n in lists
+    )
+    return f"""WITH {_HELD}, tg AS (SELECT id FROM s WHERE id IS NOT NULL),
+        be AS (SELECT caller_symbol_id AS node, callee_symbol_id AS other, edge_type, false AS inbound FROM e{back}),
+        d1 AS (SELECT *, {pri} AS pri FROM be WHERE node <> other AND other IN (SELECT id FROM tg) AND node IN (SELECT id FROM tg) QUALIFY row_number() OVER (PARTITION BY node, other ORDER BY pri, edge_type, inbound) = 1),
+        d2 AS (SELECT *, CAST(row_number() OVER (PARTITION BY node, edge_type ORDER BY pri, edge_type, inbound, other) > 7 AS INT) AS over_cap FROM d1),
+        dep AS (SELECT node, other, CAST(row_number() OVER (PARTITION BY node ORDER BY over_cap, pri, edge_type, inbound, other) AS INT) AS rank FROM d2 QUALIFY rank <= 15),
+        seen AS (SELECT id AS t, id AS i FROM tg UNION SELECT id, container_id FROM held UNION SELECT node, other FROM dep),
+        dk AS (SELECT id, file, fq_name, regexp_extract(fq_name, '([^.#]*)$', 1) AS simple, start_line FROM s WHERE id IS NOT NULL AND lower(trim(kind)) IN ({kinds})),
+        nk AS (SELECT id, fq_name, regexp_extract(fq_name, '([^.#]*)$', 1) AS simple FROM s WHERE lower(kind) IN ({kinds})),
+        near AS (SELECT file, id, row_number() OVER (PARTITION BY file ORDER BY start_line NULLS LAST, id) AS pos FROM dk WHERE file IS NOT NULL QUALIFY pos <= 25),
+        l0 AS (SELECT id, regexp_replace(fq_name, '\\.[^.]*$', '') AS module, regexp_extract_all(CASE WHEN json_valid(signature_json) THEN json_extract_string(signature_json, '$.type') END, '\\b([A-Z][a-zA-Z0-9]*(?:\\.[A-Za-z0-9]+)*)\\b', 1) AS l FROM s WHERE id IS NOT NULL),
+        l1 AS (SELECT id, module, list_filter(l, lambda y: lower(y) NOT IN ('void', 'int', 'long', 'boolean', 'double', 'float', 'byte', 'short', 'char')) AS l FROM l0),
+        l2 AS (SELECT id, module, list_filter(l, lambda y, i: list_position(l, y) = i) AS l FROM l1),
+        named AS (SELECT id, module, unnest(l) AS name, generate_subscripts(l, 1) - 1 AS pos FROM l2),
+        n AS (SELECT DISTINCT name, module FROM named),
+        hits AS (SELECT name, module, id, 1 AS step FROM n JOIN nk ON nk.fq_name = name UNION ALL SELECT name, module, id, 2 FROM n JOIN nk ON nk.fq_name = module || '.' || name
+            UNION ALL SELECT name, module, id, 3 FROM (SELECT name, module, id, row_number() OVER (PARTITION BY name, module ORDER BY length(fq_name), fq_name, id) AS r FROM n JOIN nk ON simple = name) WHERE r <= 8),
+        res AS (SELECT DISTINCT name, module, id FROM (SELECT *, min(step) OVER (PARTITION BY name, module) AS best FROM hits) WHERE step = best),
+        dom AS (SELECT s.id AS t, near.id AS i, 0 AS step, pos FROM s JOIN near USING (file) WHERE s.id IS NOT NULL UNION ALL SELECT named.id, res.id, 1, pos FROM named JOIN res ON res.name = named.name AND res.module = named.module),
+        dom1 AS (SELECT t, i, min((step, pos)) AS o FROM dom WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.t = dom.t AND seen.i = dom.i) GROUP BY t, i),
+        ck AS (SELECT DISTINCT id, repo_id, lang, chunk_type, file, start_line FROM chunks WHERE repo_id IS NOT NULL AND lang IS NOT NULL),
+        li AS ({listed}),
+        wh AS (SELECT symbol_id AS id, min(repo_id) AS repo_id, min(lang) AS lang FROM chunks WHERE symbol_id IN (SELECT id FROM tg) GROUP BY 1)
+        SELECT id AS target_id, 'target' AS section, 1 AS rank, id AS item_id FROM tg
+        UNION ALL SELECT id, 'container', 1, container_id FROM held WHERE id IN (SELECT id FROM tg)
+        UNION ALL SELECT node, 'dependency', rank, other FROM dep
+        UNION ALL SELECT t, 'domain', CAST(row_number() OVER (PARTITION BY t ORDER BY o, i) AS INT) AS rank, i FROM dom1 QUALIFY rank <= 8
+        UNION ALL SELECT wh.id, section, rank, li.id FROM wh JOIN li USING (repo_id, lang)
+        UNION ALL SELECT tg.id, 'chunk', CAST(row_number() OVER (PARTITION BY tg.id ORDER BY k.id) AS INT), k.id FROM tg JOIN (SELECT DISTINCT id, symbol_id FROM chunks) k ON k.symbol_id = tg.id
+        UNION ALL SELECT tg.id, 'test', CAST(row_number() OVER (PARTITION BY tg.id ORDER BY caller_symbol_id) AS INT), caller_symbol_id FROM tg JOIN e ON callee_symbol_id = tg.id WHERE edge_type = 'TESTS_SOURCE'{extra}""".replace("\\\\", "\\")
+
+
+SQL["retrieval_bundle"] = _bundle_sql("java_unit")
+SQL["retrieval_bundle_http"] = _bundle_sql("http_api")
 
-SQL["retrieval_bundle"] = f"""WITH {_CONT}, tg AS (SELECT id FROM s WHERE lower(kind) = 'constructor'),
-    dep AS (SELECT tg.id AS target_id, callee_symbol_id AS item_id, CAST(row_number() OVER (PARTITION BY tg.id ORDER BY over_cap, pri, edge_type, callee_symbol_id) AS INT) AS rank FROM (
-        SELECT *, CAST(row_number() OVER (PARTITION BY caller_symbol_id, edge_type ORDER BY pri, callee_symbol_id) > 7 AS INT) AS over_cap FROM (
-            SELECT *, CASE edge_type WHEN 'CALLS' THEN 0 WHEN 'INJECTS' THEN 1 WHEN 'INJECTS_NAMED' THEN 1 WHEN 'IMPLEMENTS_SERVICE' THEN 1 WHEN 'EXTENDS' THEN 2 WHEN 'REGISTERS_SERVICE' THEN 2 WHEN 'IMPLEMENTS' THEN 3 WHEN 'CONTAINS' THEN 4 WHEN 'IMPORTS' THEN 5 ELSE 6 END AS pri
-            FROM e WHERE callee_symbol_id IN (SELECT id FROM s))) x JOIN tg ON tg.id = caller_symbol_id QUALIFY rank <= 15)
-    SELECT id AS target_id, 'target' AS section, 1 AS rank, id AS item_id FROM tg
-    UNION ALL SELECT id, 'container', 1, container_id FROM c WHERE id IN (SELECT id FROM tg)
-    UNION ALL SELECT target_id, 'dependency', rank, item_id FROM dep
-    UNION ALL SELECT tg.id, 'chunk', CAST(row_number() OVER (PARTITION BY tg.id ORDER BY k.id) AS INT), k.id FROM tg JOIN (SELECT DISTINCT id, symbol_id FROM chunks) k ON k.symbol_id = tg.id
-    UNION ALL SELECT tg.id, 'test', CAST(row_number() OVER (PARTITION BY tg.id ORDER BY caller_symbol_id) AS INT), caller_symbol_id FROM tg JOIN e ON callee_symbol_id = tg.id WHERE edge_type = 'TESTS_SOURCE'"""

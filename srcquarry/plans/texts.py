@@ -116,12 +116,12 @@ SQL["sanitize_comments"] = r"""
 
 @_q
 def embedding_inputs(t: Tables):
-    """Lengths of the embedding inputs of documents: trimmed, a space if empty, at most 1000 code points."""
-    x = X.embedding_input("text", 1000)
+    """Lengths of the embedding inputs of documents: trimmed, a space if empty, at most 30,000 code points."""
+    x = X.embedding_input("text")
     return t.documents.filter("text is not null").select("doc_id", F.length(x).cast("long").alias("size"), F.md5(x.cast("binary")).alias("digest")).distinct()
 
 
-SQL["embedding_inputs"] = r"""WITH d AS (SELECT DISTINCT doc_id, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, CASE WHEN s = '' THEN ' ' ELSE substr(s, 1, 1000) END AS s FROM d)
+SQL["embedding_inputs"] = r"""WITH d AS (SELECT DISTINCT doc_id, regexp_replace(text, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, CASE WHEN s = '' THEN ' ' ELSE substr(s, 1, 30000) END AS s FROM d)
     SELECT doc_id, length(s) AS size, md5(s) AS digest FROM e"""
 
 
@@ -249,9 +249,10 @@ SQL["intent_diff"] = f"""WITH c AS (SELECT DISTINCT id, file, chunk_type = 'test
 @_q
 def log_locations(t: Tables):
     """Places named in the logs and other documents: a log line is made for each file a document names."""
-    d = t.documents.filter("text is not null").select("doc_id", "text").distinct()
     log = F.regexp_replace("text", r"([A-Za-z0-9_/-]+\.(?:java|cs|ts|js))", "at X.run($1:12) $1:7:3 ")
-    return d.select("doc_id", F.array_join(L.locations(log), ",").alias("places")).filter("places <> ''")
+    # The generator yields no row for a text without places, so that the places are found once and only they are shuffled.
+    found = F.explode(F.filter(F.array(F.array_join(L.locations(log), ",")), lambda p: p != "")).alias("places")
+    return t.documents.filter("text is not null").select("doc_id", found).distinct()
 
 
 SQL["log_locations"] = r"""
@@ -301,20 +302,28 @@ def low_value_test(t: Tables):
     return s.select("file", L.low_value_reason("file", "content").alias("low_value"), L.empty_test_reason("file", "content").alias("empty_test"))
 
 
-SQL["low_value_test"] = r"""
-    WITH s AS (SELECT file, content, trim(content) AS s, lower(trim(content)) AS low, lower(regexp_extract(file, '([^/]*)$', 1)) AS base FROM sources WHERE content IS NOT NULL AND ({is_test}))
-    SELECT file, CASE WHEN s = '' THEN '' WHEN regexp_matches(s, '(?is)typeof\s*\(.*?\).*?Assert\.NotNull\s*\(') THEN 'reflection existence assertion'
-        WHEN regexp_matches(s, '(?is)Assert\.NotNull\s*\(\s*new\s+[A-Za-z_][A-Za-z0-9_]*Tests?\s*\(') THEN 'self-smoke test' WHEN regexp_matches(s, '(?is)@(Disabled|Ignore|Ignored)\b.{{0,160}}?\{{\s*(?://[^\n]*\n|\s)*\}}') THEN 'empty disabled test'
-        WHEN regexp_matches(s, '(?is)\b(?:it|test|describe)\.skip\s*\(') THEN 'skipped test'
-        WHEN regexp_matches(s, '(?i)\bAssert\.True\s*\(\s*true\s*\)|\bAssert\.False\s*\(\s*false\s*\)|\bexpect\s*\(\s*true\s*\)\s*\.\s*toBe\s*\(\s*true\s*\)|\bexpect\s*\(\s*false\s*\)\s*\.\s*toBe\s*\(\s*false\s*\)') THEN 'tautological assertion'
-        WHEN regexp_matches(s, '(?i)\bno[- ]?op\b|\bplaceholder\b|\btodo\b|\bfix later\b') AND NOT contains(low, 'assert') THEN 'placeholder'
-        WHEN regexp_matches(s, '(?is)typeof\s*\([^)]+\)\s*\.\s*(Namespace|Name)\b') AND regexp_matches(low, 'assert\.(equal|areequal|isnotnull|notnull)') THEN 'type metadata only'
-        WHEN regexp_matches(base, 'smoke|reference') AND regexp_matches(low, 'assert\.notnull|\.tobedefined\(') THEN 'smoke only' ELSE '' END AS low_value,
-      CASE WHEN trim(content) = '' THEN '' WHEN ends_with(base, '.java') AND NOT regexp_matches(content, '@(?:Test|ParameterizedTest|RepeatedTest|TestFactory|TestTemplate)\b') THEN 'no Java test method'
-        WHEN ends_with(base, '.cs') AND NOT regexp_matches(content, '\[(?:Fact|Theory|Test|TestCase|TestMethod|DataTestMethod)\b') THEN 'no C# test method'
-        WHEN regexp_matches(base, '\.(tsx?|jsx?|mjs|cjs)$') AND NOT regexp_matches(content, '\b(?:it|test|fit|xit)\s*[.(]') THEN 'no script test call' ELSE '' END AS empty_test FROM s""".format(
-    is_test=LOOKUPS["test_path_classifier"].split("SELECT DISTINCT file, is_test,")[1].split("AS by_path")[0]
-)
+def _low_value_sql() -> str:
+    def has(text: str, phrases: list[str]) -> str:
+        return "(" + " OR ".join(f"contains({text}, '{p}')" for p in phrases) + ")"
+
+    cases = []
+    for label, patterns, needs, lacks in L.LOW_VALUE_RULES:
+        cond = "(" + " OR ".join(f"regexp_matches(s, '{p}')" for p in patterns) + ")"
+        cond += f" AND {has('low', needs)}" if needs else ""
+        cond += f" AND NOT {has('low', lacks)}" if lacks else ""
+        cond += r" OR regexp_replace(regexp_replace(s, '/\*.*?\*/|//[^\n]*', '', 'gs'), '\s+', '', 'g') = ''" if label == L.COMMENTS_ONLY else ""
+        cases.append(f"WHEN {cond} THEN '{label}'")
+    shell = r"(?is)^\s*(?:using\s+[A-Za-z0-9_.]+\s*;\s*)*(?:namespace\s+[A-Za-z0-9_.]+\s*\{\s*)*(?:public\s|internal\s|private\s|protected\s|sealed\s|abstract\s|static\s|\s)*class\s+[A-Za-z0-9_]+\s*(?::[^{]+)?\{\s*\}\s*(?:\}\s*)*$"
+    cases.append(f"WHEN ends_with(base, '.cs') AND NOT {has('s', L.SCAFFOLD_MARKS)} AND regexp_matches(s, '{shell}') THEN '{L.EMPTY_SCAFFOLD}'")
+    cases.append(f"WHEN {has('base', L.SMOKE_NAMES)} AND {has('low', L.SMOKE_PHRASES)} THEN '{L.SMOKE_ONLY}'")
+    markers = " ".join(f"WHEN regexp_matches(base, '{n}') AND NOT regexp_matches(s, '{m}') THEN '{label}'" for n, m, label in L.TEST_MARKERS)
+    is_test = LOOKUPS["test_path_classifier"].split("SELECT DISTINCT file, is_test,")[1].split("AS by_path")[0]
+    return rf"""WITH x AS (SELECT file, regexp_replace(content, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS s, lower(regexp_extract(file, '([^/]*)$', 1)) AS base FROM sources WHERE content IS NOT NULL AND ({is_test})),
+        y AS (SELECT *, lower(s) AS low FROM x)
+        SELECT file, CASE WHEN s = '' THEN '' {' '.join(cases)} ELSE '' END AS low_value, CASE WHEN s = '' THEN '' {markers} ELSE '' END AS empty_test FROM y"""
+
+
+SQL["low_value_test"] = _low_value_sql()
 
 
 @_q
@@ -359,8 +368,8 @@ def small_chunk_merge(t: Tables):
 
 @_q
 def overlap_segments(t: Tables):
-    """Windows of long chunks for embedding, with overlap, cut at line ends where possible."""
-    c = t.chunks.select("id", "content").distinct().filter(F.length("content") > 3000)
+    """Windows of all chunks for embedding, with overlap, cut at line ends where possible; a short chunk is one window."""
+    c = t.chunks.select("id", "content").distinct().filter("content is not null")
     return Y.segmented(c, "id", "content", 3000)
 
 

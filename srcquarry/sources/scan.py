@@ -42,13 +42,20 @@ def repository(spark: SparkSession, root: str, skip: list[str] | None = None) ->
     return t.dropDuplicates(["file"]).select("file", P.language("file").alias("lang"), F.sha2("content", 256).alias("sha"), P.is_test("file").alias("is_test"), text.alias("source"))
 
 
-def documents(spark: SparkSession, root: str, prefix: str = "", limit: int = 4000, largest: int = 2 << 20) -> DataFrame:
-    """(file, kind, content) of documents, skills, schemas and API descriptions, at most ``limit`` in path order."""
-    t = tree(spark, root, also=hidden_skill_dirs(spark, root)).filter((F.col("size") <= largest) & ~P.in_skipped_dir(F.regexp_replace("file", r"(^|/)\.(cursor|agent)/", "$1")))
+#: Documents and bytes of one that a bounded discovery takes.
+DOCUMENT_LIMIT, DOCUMENT_BYTES = 4000, 2 << 20
+
+
+def documents(spark: SparkSession, root: str, prefix: str = "", limit: int | None = None, largest: int | None = None) -> DataFrame:
+    """(file, kind, content) of all documents, skills, schemas and API descriptions; on request ``limit`` in path order, up to ``largest`` bytes."""
+    t = tree(spark, root, also=hidden_skill_dirs(spark, root))
+    t = t if largest is None else t.filter(F.col("size") <= largest)
+    t = t.filter(~P.in_skipped_dir(F.regexp_replace("file", r"(^|/)\.(cursor|agent)/", "$1")))
     t = t.withColumn("content", F.col("content").cast("string")).withColumn("kind", P.doc_kind("file", "content")).filter("kind is not null")
     if prefix.strip("/"):
         t = t.filter(P.under_prefix("file", prefix.strip("/")))
-    return t.select("file", "kind", "content").orderBy("file").limit(limit)
+    t = t.select("file", "kind", "content")
+    return t if limit is None else t.orderBy("file").limit(limit)
 
 
 def parsed_files(spark: SparkSession, path: str) -> DataFrame:
@@ -90,15 +97,15 @@ VERBS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
 def load_description(text: str) -> dict:
-    """A JSON or YAML document as a dict, empty if it is neither (YAML needs the yaml package)."""
+    """A JSON or YAML document as a dict, empty if it is neither. Without the yaml package YAML raises ImportError."""
     try:
         value = json.loads(text)
     except ValueError:
-        try:
-            import yaml
+        import yaml
 
+        try:
             value = yaml.safe_load(text)
-        except Exception:  # no yaml package, or no YAML
+        except yaml.YAMLError:
             value = {}
     return value if isinstance(value, dict) else {}
 

@@ -18,10 +18,21 @@ def tail(spark: SparkSession, path: str, name: str = "audit_log", files_per_batc
 
 
 def ingest(stream: DataFrame, changed: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run ``changed`` for each micro-batch of file versions, the latest row of a file only; exactly once per batch id."""
+    """Run ``changed`` for each micro-batch of file versions, the latest row of a file only.
+
+    Each applied batch id is kept below the checkpoint, so a batch that is replayed after a restart is not applied again. A failure within
+    ``changed`` replays it: it has to bear that (``ingest.index`` does, it compares digests).
+    """
+    spark = stream.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = paths.Path(checkpoint).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def batch(df: DataFrame, epoch: int) -> None:
+        done = paths.Path(f"{checkpoint}/applied/{epoch}")
+        if fs.exists(done):
+            return
         changed(df.groupBy("file").agg(*[F.max_by(c, "seq").alias(c) for c in df.columns if c not in ("file", "seq")]), epoch)
+        fs.create(done, True).close()
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 

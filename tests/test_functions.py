@@ -57,7 +57,7 @@ def test_logs(spark):
     assert out == "real\n\n[ERROR] Failed to execute goal g"
     assert one(spark, L.missing_types("s"), s="symbol:   class a.b.Foo\nlocation: interface q.Bar") == ["Foo", "Bar"]
     assert one(spark, L.diagnostic_lines("s"), s="error: x\n error: x\nok\nfailed y") == 2
-    assert one(spark, L.low_value_reason(F.lit("A.cs"), "s"), s="Assert.True( true )") == "tautological assertion" and one(spark, L.low_value_reason(F.lit("a.ts"), "s"), s="expect(x).toBe(1)") == ""
+    assert one(spark, L.low_value_reason(F.lit("A.cs"), "s"), s="Assert.True( true )") == "tautological always-pass assertion" and one(spark, L.low_value_reason(F.lit("a.ts"), "s"), s="expect(x).toBe(1)") == ""
     assert one(spark, L.empty_test_reason("p", F.lit("class A {}")), p="A.java") and not one(spark, L.empty_test_reason("p", F.lit("it('x')")), p="a.test.ts")
     assert one(spark, S.first_error("s"), s="fine\n  Error: boom ") == "Error: boom" and one(spark, S.gist("s", 10, 5), s="x" * 30).startswith("x" * 10 + "\n")
     assert one(spark, S.narrative("s", "<!--m-->", ["## Files"]), s="text\n## Files\nmore") == "text"
@@ -136,3 +136,39 @@ def test_embedding_bisects(spark):
     df = Y.embedded(spark.createDataFrame([(1, "x"), (2, None)], "id int, t string"), "id", "t")
     rows = {r.id: r.embedding for r in df.collect()}
     assert len(rows[1]) == 64 and abs(sum(v * v for v in rows[1]) - 1) < 1e-5
+
+
+def test_a_text_refused_as_too_large_keeps_all_its_pieces():
+    def provider(texts):
+        if any(len(t) > 60 or "#" in t for t in texts):
+            raise Y.LimitExceeded
+        return [[float(len(t))] for t in texts]
+
+    text = "".join(f"line {k:03d}\n" for k in range(40))
+    out = Y.embed_all(["a", text, "#" * 10, "b"], provider, least=32)
+    assert [t for i, t, _ in out if i == 0] == ["a"] and [v for i, _, v in out if i == 2] == [None] and out[-1][:2] == (3, "b")
+    pieces = [t for i, t, _ in out if i == 1]
+    assert len(pieces) > 5 and all(p in text for p in pieces) and set("".join(pieces).split()) == set(text.split())
+
+
+def test_failures_of_the_environment_mind_case_where_they_have_to(spark):
+    assert one(spark, L.infra_class(F.lit("cs"), "s"), s="argumentexception: connection string") == ""
+    assert one(spark, L.infra_class(F.lit("cs"), "s"), s="System.ArgumentException: Connection String") == "connection_configuration"
+    assert one(spark, L.infra_class(F.lit("cs"), "s"), s="microsoft.data.sqlite: initialization string") == ""
+
+
+def test_low_value_tests(spark):
+    cases = [
+        ("A.java", "// nothing\n/* here */\n", "placeholder/no-op content without behavioral test logic"),
+        ("A.cs", '[Fact(Skip = "later")]\npublic void A() { }', "empty skipped xUnit test shell"),
+        ("a.ts", "it.skip('x', () => { expect(f(1)).toBe(2); })", ""),
+        ("a.ts", "it.skip('x', () => { // later\n })", "empty skipped JS/TS test shell"),
+        ("A.cs", "using X;\nnamespace N {\n  public sealed class A : B {\n  }\n}", "empty C# namespace/class scaffold without test methods"),
+        ("A.java", "class A {}", ""),
+        ("A.cs", "Assert.Throws<ArgumentNullException>(() => new Foo(null))", "constructor null-guard smoke test without behavioral assertions"),
+        ("A.cs", "Assert.Throws<ArgumentNullException>(() => new Foo(null)); mock.Verify(x)", ""),
+        ("SmokeTest.cs", "Assert.NotNull(x);", "smoke/reference-only non-behavioral test"),
+    ]
+    for path, text, want in cases:
+        assert one(spark, L.low_value_reason(F.lit(path), "s"), s=text) == want, (path, text)
+    assert one(spark, L.empty_test_reason(F.lit("a_test.go"), "s"), s="package a\nfunc helper() {}") != "" and one(spark, L.empty_test_reason(F.lit("a_test.go"), "s"), s="package a\nfunc TestX(t *testing.T) {}") == ""
