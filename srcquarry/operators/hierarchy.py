@@ -14,14 +14,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from srcquarry.runtime import Scratch, slots
+from srcquarry.runtime import Scratch
 
 #: Consumed edges are dropped from the working set once they are this share of it.
 PRUNE_SHARE = 0.5
 #: Frontiers of at most so many rows take STEPS levels in one plan.
-SMALL, STEPS = 100_000, 10
-#: Links of a partition: up to as many partitions as there are cores from FEW on, more partitions only beyond MANY.
-FEW, MANY = 25_000, 1_000_000
+SMALL, STEPS = 20_000, 10
+#: Links of a partition, as long as there are no more than so many partitions.
+PARTITION_LINKS, MOST_PARTITIONS = 25_000, 20_000
 #: Links a parent has at least before it counts as one with more than its share.
 HOT_LINKS = 10_000
 
@@ -56,7 +56,13 @@ def _several(frontier: DataFrame, live: DataFrame, level: int, k: int, keep_path
     """
     cur = frontier.withColumnRenamed("symbol_id", "n0")
     for j in range(1, k + 1):
-        cur = cur.join(live.select(F.col("parent").alias(f"n{j - 1}"), F.col("child").alias(f"n{j}")), f"n{j - 1}", "left")
+        step = live.select(F.col("parent").alias("__parent"), F.col("child").alias(f"n{j}"))
+        if j > 1:
+            # Ways that have ended are spread by what they ended at, not sent to the partition of null together.
+            at = F.coalesce(f"n{j - 1}", *[F.concat(F.lit("\0"), f"n{i}") for i in range(j - 2, -1, -1)])
+            cur = cur.join(step, (at == F.col("__parent")) & F.col(f"n{j - 1}").isNotNull(), "left").drop("__parent")
+        else:
+            cur = cur.join(step, F.col("n0") == F.col("__parent"), "left").drop("__parent")
     ways = []
     for j in range(1, k + 1):
         fields = [F.col(f"n{j}").alias("symbol_id"), F.lit(level + j).alias("depth")]
@@ -68,9 +74,9 @@ def _several(frontier: DataFrame, live: DataFrame, level: int, k: int, keep_path
     return rows.select(*cols).distinct() if k > 1 else rows.select(*cols)
 
 
-def _partitions(links: int, cores: int) -> int:
+def _partitions(links: int) -> int:
     """Partitions for so many links: by their number, not by the size of the cluster, so that small ones take few tasks."""
-    return max(1, -(-links // MANY), min(cores, -(-links // FEW)))
+    return max(1, min(MOST_PARTITIONS, -(-links // PARTITION_LINKS)))
 
 
 def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
@@ -87,11 +93,10 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
-    cores = slots(spark)
     # All rows that name a node: those with a null end or a parent that is not taken keep nodes that nothing links.
     named = scratch.write(links.select("child", "parent").filter("child is not null or parent is not null"), "named")
     one, left = scratch.write_counted(_linked(named), "links")
-    n = _partitions(left, cores)
+    n = _partitions(left)
 
     nodes = named.filter("child is not null").select(F.col("child").alias("symbol_id"), F.col("parent").isNotNull().cast("int").alias("is_child"))
     nodes = nodes.unionByName(named.filter("parent is not null").select(F.col("parent").alias("symbol_id"), F.lit(0).alias("is_child")))
@@ -131,7 +136,7 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
         used += seen["n"]
         if size and used >= PRUNE_SHARE * left:
             gone = loop.read("level", schema).drop("l").select(F.col("symbol_id").alias("child"))
-            rest = keep(live.join(gone, "child", "left_anti"), _partitions(max(1, left - used), cores))
+            rest = keep(live.join(gone, "child", "left_anti"), _partitions(left - used))
             left, used = rest.count() + (n_hot and left), 0
             live.unpersist()
             live = rest
