@@ -18,8 +18,10 @@ from srcquarry.runtime import Scratch
 
 #: Consumed edges are dropped from the working set once they are this share of it.
 PRUNE_SHARE = 0.5
-#: Frontiers of at most so many rows take STEPS levels in one plan.
-SMALL, STEPS = 20_000, 10
+#: Levels taken one at a time before several are taken in one join.
+SINGLE = 3
+#: Levels of one join at most; the table for it may have so many times the rows of all links.
+MOST_LEVELS, ROOM = 32, 2
 #: Links of a partition, as long as there are no more than so many partitions.
 PARTITION_LINKS, MOST_PARTITIONS = 25_000, 20_000
 #: Links a parent has at least before it counts as one with more than its share.
@@ -49,29 +51,12 @@ def extra_parents(links: DataFrame) -> DataFrame:
     return links.join(kept, "child").filter("parent <> kept").select("child", "parent").distinct()
 
 
-def _several(frontier: DataFrame, live: DataFrame, level: int, k: int, keep_path: bool) -> DataFrame:
-    """The next ``k`` levels below a frontier in one plan: a chain of left joins, each row one way down.
-
-    Inner nodes come once per way, so rows are made distinct; there are at most ``k`` times as many as nodes.
-    """
-    cur = frontier.withColumnRenamed("symbol_id", "n0")
-    for j in range(1, k + 1):
-        step = live.select(F.col("parent").alias("__parent"), F.col("child").alias(f"n{j}"))
-        if j > 1:
-            # Ways that have ended are spread by what they ended at, not sent to the partition of null together.
-            at = F.coalesce(f"n{j - 1}", *[F.concat(F.lit("\0"), f"n{i}") for i in range(j - 2, -1, -1)])
-            cur = cur.join(step, (at == F.col("__parent")) & F.col(f"n{j - 1}").isNotNull(), "left").drop("__parent")
-        else:
-            cur = cur.join(step, F.col("n0") == F.col("__parent"), "left").drop("__parent")
-    ways = []
-    for j in range(1, k + 1):
-        fields = [F.col(f"n{j}").alias("symbol_id"), F.lit(level + j).alias("depth")]
-        if keep_path:
-            fields.append(F.concat("path", F.array(*[f"n{i}" for i in range(1, j + 1)])).alias("path"))
-        ways.append(F.struct(*fields))
-    rows = cur.select("root_symbol_id", F.explode(F.array(*ways)).alias("x")).filter("x.symbol_id is not null")
-    cols = ["x.symbol_id", "root_symbol_id", "x.depth"] + (["x.path"] if keep_path else [])
-    return rows.select(*cols).distinct() if k > 1 else rows.select(*cols)
+def _doubled(reach: DataFrame, span: int, keep_path: bool) -> DataFrame:
+    """The table of all ways of up to ``span`` links, as (parent, child, distance[, way]), extended to twice as many."""
+    first = reach.filter(F.col("distance") == span).select("parent", F.col("child").alias("mid"), *([F.col("way").alias("start")] if keep_path else []))
+    then = reach.withColumnRenamed("parent", "mid").withColumnRenamed("distance", "more")
+    way = [F.concat("start", "way").alias("way")] if keep_path else []
+    return reach.unionByName(first.join(then, "mid").select("parent", "child", (F.col("more") + span).alias("distance"), *way))
 
 
 def _partitions(links: int) -> int:
@@ -82,14 +67,15 @@ def _partitions(links: int) -> int:
 def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     """(symbol_id, root_symbol_id, depth[, path array]) for every id in (parent, child) ``links``.
 
-    The links are reduced to one parent per child, hash-partitioned and sorted by parent once and kept;
-    each level joins the frontier with them (a broadcast while Spark's size limit allows it, else a merge
-    join that shuffles only the frontier), and is written to the shared folder, which cuts the lineage.
-    A small frontier takes several levels at once. Links are dropped from the working set once used.
+    The links are reduced to one parent per child, hash-partitioned by parent and kept; the frontier is joined with them level
+    by level (a merge join that shuffles only the frontier) and each level is written to the shared folder, which cuts the lineage.
+    Links are dropped from the working set once used. Deep trees have narrow levels: after SINGLE levels the
+    links left are squared to a table of the ways of up to 2, 4, 8 ... links, as far as it stays within ROOM times
+    all links, and one join takes that many levels; each node still comes once, by its one way from the frontier.
 
     A parent with more than its share of all links (there can be at most twice as many such parents as
-    partitions) would make one partition of them all: its links stay spread as they are, and the few
-    frontier rows of such parents, bounded by that number, are broadcast to them.
+    partitions) would make one partition of them all: its links stay spread as they are and take no part in the squaring, and
+    the few frontier rows of such parents, bounded by that number, are broadcast to them.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "hierarchy")
@@ -115,32 +101,51 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
         loop.spark.conf.set(f"spark.sql.{name}", value)
     one, frontier = loop.read("links", one.schema), loop.read("level/l=0", schema)
 
-    def keep(df: DataFrame, n: int) -> DataFrame:
-        return df.repartition(n, "parent").sortWithinPartitions("parent").persist()
+    def keep(df: DataFrame, rows: int) -> DataFrame:
+        return df.repartition(_partitions(rows), "parent").sortWithinPartitions("parent").persist()
+
+    def squared(live: DataFrame, rows: int) -> tuple[DataFrame, int]:
+        """(table of ways, their greatest length) of the links left."""
+        way = [F.array("child").alias("way")] if keep_path else []
+        reach, span = keep(live.select("parent", "child", F.lit(1).alias("distance"), *way), rows), 1
+        while span < MOST_LEVELS and level >= SINGLE and 2 * span * rows <= ROOM * total:
+            more = keep(_doubled(reach, span, keep_path), 2 * span * rows)
+            more.count()
+            reach.unpersist()
+            reach, span = more, 2 * span
+        return reach, span
 
     share = max(HOT_LINKS, left // (2 * n))
     hot, n_hot = loop.write_counted(one.groupBy("parent").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > share).select("parent"), "hot")
-    live = keep(one.join(F.broadcast(hot), "parent", "left_anti") if n_hot else one, n)
     wide = one.join(F.broadcast(hot), "parent", "left_semi").persist() if n_hot else None
-    used = level = 0
+    live = one.join(F.broadcast(hot), "parent", "left_anti") if n_hot else one
+    total, used, level, turn, path = left, 0, 0, 0, ["path"] if keep_path else []
+    reach, span = squared(live, left)
+    fresh = ["symbol_id", "root_symbol_id", "depth", *path]
     while size and left:
-        k = STEPS if size <= SMALL and wide is None else 1
-        rows = _several(frontier, live, level, k, keep_path)
-        if wide is not None:
+        way = [F.concat("path", "way").alias("path")] if keep_path else []
+        rows = frontier.withColumnRenamed("symbol_id", "parent").join(reach, "parent").select(
+            F.col("child").alias("symbol_id"), "root_symbol_id", (F.col("depth") + F.col("distance")).alias("depth"), *way, (F.col("distance") == span).alias("open")
+        )
+        if n_hot:
             few = frontier.join(F.broadcast(hot.withColumnRenamed("parent", "symbol_id")), "symbol_id", "left_semi").limit(n_hot)
-            rows = rows.unionByName(_several(F.broadcast(few), wide, level, 1, keep_path).filter("symbol_id is not null"))
-        count = F.count(F.lit(1))
-        new, seen = loop.write_observed(rows, f"level/l={level + 1}", n=count, last=F.count_if(F.col("depth") == level + k))
-        level += k
-        frontier, size = new.filter(F.col("depth") == level) if k > 1 else new, seen["last"]
-        used += seen["n"]
-        if size and used >= PRUNE_SHARE * left:
+            way = [F.concat("path", F.array("child")).alias("path")] if keep_path else []
+            below = F.broadcast(few.withColumnRenamed("symbol_id", "parent")).join(wide, "parent")
+            rows = rows.unionByName(below.select(F.col("child").alias("symbol_id"), "root_symbol_id", (F.col("depth") + 1).alias("depth"), *way, F.lit(True).alias("open")))
+            # The ways of the table end at such parents: they wait for their turn whatever their distance.
+            rows = rows.join(F.broadcast(hot.select(F.col("parent").alias("symbol_id"), F.lit(True).alias("hot"))), "symbol_id", "left")
+            rows = rows.select(*fresh, (F.col("open") | F.coalesce("hot", F.lit(False))).alias("open"))
+        turn += 1
+        new, seen = loop.write_observed(rows, f"level/l={turn}", n=F.count(F.lit(1)), open=F.count_if(F.col("open")))
+        frontier, size = new.filter("open").select(*fresh), seen["open"]
+        used, level = used + seen["n"], level + span
+        if size and (used >= PRUNE_SHARE * left or (level >= SINGLE and span == 1 and 2 * left <= ROOM * total)):
             gone = loop.read("level", schema).drop("l").select(F.col("symbol_id").alias("child"))
-            rest = keep(live.join(gone, "child", "left_anti"), _partitions(left - used))
-            left, used = rest.count() + (n_hot and left), 0
-            live.unpersist()
-            live = rest
-    live.unpersist()
+            live, left = loop.write_counted(live.join(gone, "child", "left_anti"), f"left/{turn}")
+            reach.unpersist()
+            reach, span = squared(live, left)
+            left, used = left + n_hot, 0
+    reach.unpersist()
     if wide is not None:
         wide.unpersist()
     reached = scratch.read("level", schema).drop("l")
