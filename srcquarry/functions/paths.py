@@ -14,11 +14,12 @@ LANGUAGES = {
     ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".html": "html", ".vue": "javascript",
 }
 #: Directories that are not scanned.
-SKIPPED_DIRS = (
-    "node_modules .git dist public build bin obj wwwroot out target .next .nuxt .output .svelte-kit .astro coverage website .nx .angular "
-    ".turbo .vite .parcel-cache .cache .serverless angular angular-animate angular-loader angular-mocks angular-resource angular-route "
-    "jquery bootstrap html5-boilerplate stories storybook .storybook"
-).split()
+SKIPPED_DIRS = [
+    "node_modules", ".git", "dist", "public", "build", "bin", "obj", "wwwroot", "out", "target", ".next", ".nuxt", ".output", ".svelte-kit", ".astro",
+    "coverage", "website", ".nx", ".angular", ".turbo", ".vite", ".parcel-cache", ".cache", ".serverless", "angular", "angular-animate",
+    "angular-loader", "angular-mocks", "angular-resource", "angular-route", "jquery", "bootstrap", "html5-boilerplate", "stories", "storybook",
+    ".storybook",
+]
 
 
 def normal(path: C) -> Column:

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("containment", "lookups", "joins", "aggregates", "ranks", "texts", "extras")
+MODULES = ("containment", "lookups", "joins", "aggregates", "ranks", "texts", "extras", "transitions")
 
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:

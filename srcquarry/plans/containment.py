@@ -56,4 +56,7 @@ SQL = {
             SELECT l.child AS symbol_id, l.parent AS ancestor_id, 1 AS distance FROM link l WHERE l.child IN (SELECT symbol_id FROM tree)
             UNION ALL SELECT u.symbol_id, l.parent, u.distance + 1 FROM up u JOIN link l ON l.child = u.ancestor_id)
          SELECT ancestor_id, symbol_id, distance FROM up""",
+    "p6_loops": _TREE
+    + """, walk AS (SELECT child AS start, parent AS node FROM link WHERE child NOT IN (SELECT symbol_id FROM tree) UNION SELECT w.start, l.parent FROM walk w JOIN link l ON l.child = w.node)
+         SELECT start AS symbol_id, min(node) AS loop_id FROM walk GROUP BY start HAVING bool_or(node = start)""",
 }
