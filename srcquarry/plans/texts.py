@@ -18,7 +18,8 @@ _q = query(QUERIES)
 def approx_tokens(t: Tables):
     """Tokens of each chunk by the characters per token of its language."""
     lim = t.chunk_limits.groupBy("lang").agg(F.max("chars_per_token").alias("cpt"))
-    return t.chunks.select("id", "lang", "content").distinct().join(lim, "lang", "left").select("id", X.approx_tokens("content", F.coalesce("cpt", F.lit(0))).alias("tokens"))
+    size = t.chunks.select("id", "lang", "content").join(lim, "lang", "left").select("id", X.approx_tokens("content", F.coalesce("cpt", F.lit(0))).alias("tokens"))
+    return size.distinct()
 
 
 SQL["approx_tokens"] = """SELECT DISTINCT c.id, CAST(ceil(length(content) / (CASE WHEN chars_per_token > 0 THEN chars_per_token ELSE 4 END)::DOUBLE) AS BIGINT) AS tokens FROM chunks c LEFT JOIN chunk_limits l ON l.lang = c.lang"""
@@ -104,8 +105,7 @@ SQL["parent_map"] = "SELECT callee_symbol_id, min(caller_symbol_id) AS parent_id
 @_q
 def sanitize_comments(t: Tables):
     """Digest of each chunk without block comments and with long comment lines cut."""
-    c = t.chunks.select("id", "content").distinct()
-    return c.select("id", F.md5(X.sanitize("content", True, 80).cast("binary")).alias("digest"))
+    return t.chunks.select("id", F.md5(X.sanitize("content", True, 80).cast("binary")).alias("digest")).distinct()
 
 
 SQL["sanitize_comments"] = r"""
@@ -202,7 +202,7 @@ SQL["spring_routes"] = r"""WITH x AS (SELECT file, unnest(regexp_extract_all(con
 @_q
 def type_tokens(t: Tables):
     """Types each chunk refers to: distinct, in order, without common ones, 40 at most."""
-    return t.chunks.select("id", "content").distinct().filter("content is not null").select("id", F.array_join(X.body_types("content"), ",").alias("types"))
+    return t.chunks.filter("content is not null").select("id", F.array_join(X.body_types("content"), ",").alias("types")).distinct()
 
 
 _COMMON = ", ".join(f"'{x}'" for x in X.COMMON_TYPES)
@@ -224,7 +224,7 @@ _INTENTS = r"""array_to_string(list_filter([
 @_q
 def branch_intents(t: Tables):
     """Branches each chunk has."""
-    return t.chunks.select("id", "content").distinct().filter("content is not null").select("id", F.array_join(X.branch_intents("content"), ",").alias("intents"))
+    return t.chunks.filter("content is not null").select("id", F.array_join(X.branch_intents("content"), ",").alias("intents")).distinct()
 
 
 SQL["branch_intents"] = f"SELECT DISTINCT id, {_INTENTS} AS intents FROM chunks WHERE content IS NOT NULL"
@@ -280,10 +280,10 @@ SQL["consecutive_dedupe"] = """
 @_q
 def log_classes(t: Tables):
     """Failure classes of texts: environment, compiler diagnostics, lines with a diagnostic; over documents and the notes of runs."""
-    d = t.documents.filter("text is not null").select("doc_id", "lang", "text").distinct()
+    d = t.documents.filter("text is not null")
     noisy = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\nERROR connection refused: jdbc:postgres 5432"))).when(F.col("doc_id") % 9 == 1, F.concat("text", F.lit("\n[ERROR] COMPILATION ERROR\ncannot find symbol\nsymbol: class a.b.Missing"))).otherwise(F.col("text"))
     tag = F.when(F.col("doc_id") % 2 == 0, "java").otherwise("ts")
-    return d.select("doc_id", L.infra_class(tag, noisy).alias("infra"), L.is_compile_shaped(noisy).alias("compile_shaped"), L.diagnostic_lines(noisy).cast("long").alias("diagnostics"), F.array_join(L.missing_types(noisy), ",").alias("missing"))
+    return d.select("doc_id", L.infra_class(tag, noisy).alias("infra"), L.is_compile_shaped(noisy).alias("compile_shaped"), L.diagnostic_lines(noisy).cast("long").alias("diagnostics"), F.array_join(L.missing_types(noisy), ",").alias("missing")).distinct()
 
 
 SQL["log_classes"] = r"""
@@ -345,8 +345,7 @@ SQL["build_log_sanitize"] = r"""
 @_q
 def failing_paths(t: Tables):
     """Files named by their stem in documents on lines that read like a failure."""
-    d = t.documents.filter("text is not null").select("doc_id", "text").distinct()
-    lines = d.select("doc_id", F.explode(F.split("text", r"[\n.!?]")).alias("line")).filter(F.lower("line").rlike(r"fail|error|broken|hung|stopped"))
+    lines = t.documents.filter("text is not null").select("doc_id", F.explode(F.split("text", r"[\n.!?]")).alias("line")).filter(F.lower("line").rlike(r"fail|error|broken|hung|stopped"))
     named = lines.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_-]+)"), F.lit(1))).alias("stem")).filter("length(stem) >= 5").distinct()
     stems = t.files.select(F.regexp_extract("file", r"([^/.]*)\.[^/]*$", 1).alias("stem"), "file").distinct()
     return named.join(stems, "stem").select("doc_id", "file").distinct()

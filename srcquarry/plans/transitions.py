@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from srcquarry.functions import paths as P, python as Y, text as X
-from srcquarry.operators import changes as C, queues as Q
+from srcquarry.functions import logs as L, paths as P, python as Y, text as X
+from srcquarry.operators import changes as C, queues as Q, rows as R
 from srcquarry.plans.base import Tables, query
+from srcquarry.plans.lookups import SQL as LOOKUPS
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -185,3 +186,22 @@ def event_rollup(t: Tables):
 
 
 SQL["event_rollup"] = "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 3) AS total FROM events GROUP BY ROLLUP (event_type, strftime(ts, '%Y-%m-%d'))"
+
+
+@_q
+def missing_type_files(t: Tables):
+    """Files of the types a compiler misses: main sources that declare a type of the name, the shortest paths first, five of a log."""
+    logs = t.documents.filter("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z0-9]{3,})(?![A-Za-z0-9_])"), F.lit(1))).alias("name")).distinct()
+    # Names that a document mentions stand in for compiler lines: the names go through the same extraction.
+    lines = logs.select("doc_id", F.explode(L.missing_types(F.concat(F.lit("  symbol:   class x."), "name"))).alias("name"))
+    types = t.symbols.filter(F.lower("kind").isin("class", "interface", "enum", "record", "struct")).select(X.simple_name("fq_name").alias("name"), "file").filter("name is not null and file is not null").distinct()
+    main = types.join(t.files.groupBy("file").agg(F.max("is_test").alias("is_test")).filter("not is_test"), "file", "left_semi").filter(~P.is_test("file"))
+    # A log names a file once; of one name at most five files can be among its five.
+    first = R.top_per_group(main, ["name"], [F.length("file"), F.col("file")], 5, "nth").drop("nth")
+    return R.top_per_group(lines.join(first, "name").select("doc_id", "file").distinct(), ["doc_id"], [F.length("file"), F.col("file")], 5)
+
+
+SQL["missing_type_files"] = rf"""WITH l AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b([A-Z][a-zA-Z0-9]{{3,}})\b', 1)) AS name FROM documents WHERE text IS NOT NULL),
+    t AS (SELECT DISTINCT regexp_extract(fq_name, '([^.#]*)$', 1) AS name, file FROM symbols WHERE lower(kind) IN ('class', 'interface', 'enum', 'record', 'struct') AND fq_name IS NOT NULL AND file IS NOT NULL),
+    m AS (SELECT name, file FROM t WHERE file IN (SELECT file FROM files GROUP BY file HAVING NOT max(is_test)) AND NOT ({LOOKUPS["test_path_classifier"].split("SELECT DISTINCT file, is_test,")[1].split("AS by_path")[0]}))
+    SELECT doc_id, file, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY length(file), file) AS INT) AS rank FROM (SELECT DISTINCT doc_id, file FROM l JOIN m USING (name)) QUALIFY rank <= 5"""
