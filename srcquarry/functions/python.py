@@ -199,29 +199,30 @@ def response_map(column: Column | str) -> Column:
     return run(column)
 
 
+#: What a block holds whose own blocks are looked at.
+_TYPE_HEADER = re.compile(r"\b(class|interface|enum|record|struct|namespace|module)\b[^{;]*$")
+
+
 def without_bodies(text: str) -> str:
     """A source with the bodies of its innermost-but-types blocks elided: headers stay."""
-    out, depth, keep_to, i = [], 0, None, 0
-    types = re.compile(r"\b(class|interface|enum|record|struct|namespace|module)\b[^{;]*$")
-    while i < len(text):
-        c = text[i]
+    out, depth, keep_to, at = [], 0, None, 0
+    for mark in re.finditer(r"[{};]", text):
+        i, c = mark.start(), mark[0]
+        seen = keep_to is None
+        if seen:
+            out.append(text[at:i])
         if c == "{":
-            if keep_to is None and not types.search(text[:i].rsplit("}", 1)[-1].rsplit(";", 1)[-1].rsplit("{", 1)[-1]):
-                out.append("{ … }")
-                keep_to = depth
-            elif keep_to is None:
-                out.append(c)
+            if seen and not _TYPE_HEADER.search(text, at, i):
+                c, keep_to = "{ … }", depth
             depth += 1
         elif c == "}":
             depth -= 1
-            if keep_to is not None and depth == keep_to:
+            if depth == keep_to:
                 keep_to = None
-            elif keep_to is None:
-                out.append(c)
-        elif keep_to is None:
+        if seen:
             out.append(c)
-        i += 1
-    return "".join(out)
+        at = i + 1
+    return "".join([*out, text[at:]] if keep_to is None else out)
 
 
 def sliced_signatures(column: Column | str) -> Column:

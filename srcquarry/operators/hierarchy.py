@@ -148,6 +148,7 @@ def hierarchy(links: DataFrame, keep_path: bool = False) -> DataFrame:
     reach.unpersist()
     if wide is not None:
         wide.unpersist()
+    scratch.drop("links", "hot", "left")
     reached = scratch.read("level", schema).drop("l")
     lost = nodes.select("symbol_id").join(reached.select("symbol_id"), "symbol_id", "left_anti")
     lost = lost.select("symbol_id", F.lit("").alias("root_symbol_id"), F.lit(-1).alias("depth"))

@@ -25,18 +25,6 @@ def shared_root(spark: SparkSession) -> str:
     return _FALLBACK[0]
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Set the checkpoint folder from the session's own setting, once."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(shared_root(spark))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: one copy in the shared folder, lineage dropped, survives executor loss."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 class Scratch:
     """A folder of written tables below the shared root, removed when the JVM ends or by ``drop()``."""
 
@@ -75,9 +63,10 @@ class Scratch:
         reader = self.spark.read.schema(schema) if schema is not None else self.spark.read
         return reader.parquet(f"{self.path}/{part}")
 
-    def drop(self, part: str) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}")
-        self._fs.delete(path, True)
+    def drop(self, *parts: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for part in parts:
+            self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{part}"), True)
 
 
 def slots(spark: SparkSession) -> int:
