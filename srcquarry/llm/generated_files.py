@@ -230,6 +230,7 @@ def scored(sources: DataFrame, sample: int = SAMPLE) -> DataFrame:
     scratch = Scratch(sources.sparkSession, "generated")
     rows = scratch.write(described(sources), "described")
     full = scratch.write(with_statistics(rows), "full")
+    scratch.drop("described")
     # A bounded sample, chosen by hash so that it is the same on every run.
     train = full.select(F.xxhash64("file").alias("h"), F.greatest("notice", "data").alias("y"), "x").orderBy("h").limit(sample).toPandas()
     y = train["y"].to_numpy(np.float64) if len(train) else np.zeros(0)

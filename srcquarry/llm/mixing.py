@@ -88,6 +88,7 @@ class Mix:
         uses = uses.withColumn("start", F.col("start") + F.col("use") * F.col("available"))
         uses = uses.filter(F.col("start") + F.col("n_tokens") / 2 <= F.col("wanted"))
         self.uses = scratch.write(uses.select("source", "doc_id", "use", "n_tokens", "start"), "uses")
+        scratch.drop("sized", "goal")
 
         # Blocks of each source; a list of sources, as the target table has.
         rows = self.uses.groupBy("source").agg(F.max(F.col("start") + F.col("n_tokens")).alias("size")).orderBy("source").limit(MOST_SOURCES + 1).collect()

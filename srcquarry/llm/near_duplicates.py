@@ -343,6 +343,7 @@ def near_duplicate_classes(df: DataFrame, threshold: float, hot: int = HOT) -> t
     sides = [tokens.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}")) for x in "ab"]
     full = candidates.join(sides[0], "a").join(sides[1], "b")
     pairs = scratch.write(_verified(full.select("a", "b", "na", "nb", "ta", "tb"), threshold), "pairs")
+    scratch.drop("classes", "shared", "usual", "tokens")
     return members, pairs
 
 
