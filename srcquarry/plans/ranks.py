@@ -10,6 +10,7 @@ from srcquarry.functions import text as X
 from srcquarry.operators import graph as G, ranking as K, retrieval as B, rows as R
 from srcquarry.plans.base import Tables, query
 from srcquarry.plans.joins import _HELD, _SYM, _TRACED
+from srcquarry.runtime import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -182,7 +183,7 @@ _QUERY = X.run_query("java", "junit", "playwright") + " index parser cache ticke
 @_q
 def jaccard_rank(t: Tables):
     """Documents by word overlap with the run query and keyword boost, ten of each source."""
-    d = t.documents.filter("text is not null").select("doc_id", "source", F.round(X.jaccard(F.lit(_QUERY), "text") + X.keyword_boost("source", "text"), 6).alias("score")).distinct()
+    d = spread(t.documents.filter("text is not null").select("doc_id", "source", "text")).select("doc_id", "source", F.round(X.jaccard(F.lit(_QUERY), "text") + X.keyword_boost("source", "text"), 6).alias("score")).distinct()
     return R.top_per_group(d, ["source"], [F.desc("score"), F.col("doc_id")], 10)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from srcquarry.functions import logs as L, paths as P, python as Y, text as X
 from srcquarry.operators import graph as G, rows as R
 from srcquarry.plans.base import Tables, query
+from srcquarry.runtime import spread
 from srcquarry.plans.lookups import SQL as LOOKUPS
 
 QUERIES: dict = {}
@@ -105,7 +106,7 @@ SQL["parent_map"] = "SELECT callee_symbol_id, min(caller_symbol_id) AS parent_id
 @_q
 def sanitize_comments(t: Tables):
     """Digest of each chunk without block comments and with long comment lines cut."""
-    return t.chunks.select("id", F.md5(X.sanitize("content", True, 80).cast("binary")).alias("digest")).distinct()
+    return spread(t.chunks.select("id", "content")).select("id", F.md5(X.sanitize("content", True, 80).cast("binary")).alias("digest")).distinct()
 
 
 SQL["sanitize_comments"] = r"""
@@ -202,7 +203,7 @@ SQL["spring_routes"] = r"""WITH x AS (SELECT file, unnest(regexp_extract_all(con
 @_q
 def type_tokens(t: Tables):
     """Types each chunk refers to: distinct, in order, without common ones, 40 at most."""
-    return t.chunks.filter("content is not null").select("id", F.array_join(X.body_types("content"), ",").alias("types")).distinct()
+    return spread(t.chunks.filter("content is not null").select("id", "content")).select("id", F.array_join(X.body_types("content"), ",").alias("types")).distinct()
 
 
 _COMMON = ", ".join(f"'{x}'" for x in X.COMMON_TYPES)
@@ -224,7 +225,7 @@ _INTENTS = r"""array_to_string(list_filter([
 @_q
 def branch_intents(t: Tables):
     """Branches each chunk has."""
-    return t.chunks.filter("content is not null").select("id", F.array_join(X.branch_intents("content"), ",").alias("intents")).distinct()
+    return spread(t.chunks.filter("content is not null").select("id", "content")).select("id", F.array_join(X.branch_intents("content"), ",").alias("intents")).distinct()
 
 
 SQL["branch_intents"] = f"SELECT DISTINCT id, {_INTENTS} AS intents FROM chunks WHERE content IS NOT NULL"
@@ -252,7 +253,7 @@ def log_locations(t: Tables):
     log = F.regexp_replace("text", r"([A-Za-z0-9_/-]+\.(?:java|cs|ts|js))", "at X.run($1:12) $1:7:3 ")
     # The generator yields no row for a text without places, so that the places are found once and only they are shuffled.
     found = F.explode(F.filter(F.array(F.array_join(L.locations(log), ",")), lambda p: p != "")).alias("places")
-    return t.documents.filter("text is not null").select("doc_id", found).distinct()
+    return spread(t.documents.filter("text is not null").select("doc_id", "text")).select("doc_id", found).distinct()
 
 
 SQL["log_locations"] = r"""
@@ -280,7 +281,7 @@ SQL["consecutive_dedupe"] = """
 @_q
 def log_classes(t: Tables):
     """Failure classes of texts: environment, compiler diagnostics, lines with a diagnostic; over documents and the notes of runs."""
-    d = t.documents.filter("text is not null")
+    d = spread(t.documents.filter("text is not null").select("doc_id", "text"))
     noisy = F.when(F.col("doc_id") % 9 == 0, F.concat("text", F.lit("\nERROR connection refused: jdbc:postgres 5432"))).when(F.col("doc_id") % 9 == 1, F.concat("text", F.lit("\n[ERROR] COMPILATION ERROR\ncannot find symbol\nsymbol: class a.b.Missing"))).otherwise(F.col("text"))
     tag = F.when(F.col("doc_id") % 2 == 0, "java").otherwise("ts")
     return d.select("doc_id", L.infra_class(tag, noisy).alias("infra"), L.is_compile_shaped(noisy).alias("compile_shaped"), L.diagnostic_lines(noisy).cast("long").alias("diagnostics"), F.array_join(L.missing_types(noisy), ",").alias("missing")).distinct()
@@ -345,7 +346,7 @@ SQL["build_log_sanitize"] = r"""
 @_q
 def failing_paths(t: Tables):
     """Files named by their stem in documents on lines that read like a failure."""
-    lines = t.documents.filter("text is not null").select("doc_id", F.explode(F.split("text", r"[\n.!?]")).alias("line")).filter(F.lower("line").rlike(r"fail|error|broken|hung|stopped"))
+    lines = spread(t.documents.filter("text is not null").select("doc_id", "text")).select("doc_id", F.explode(F.split("text", r"[\n.!?]")).alias("line")).filter(F.lower("line").rlike(r"fail|error|broken|hung|stopped"))
     named = lines.select("doc_id", F.explode(F.regexp_extract_all("line", F.lit(r"([A-Za-z0-9_-]+)"), F.lit(1))).alias("stem")).filter("length(stem) >= 5").distinct()
     stems = t.files.select(F.regexp_extract("file", r"([^/.]*)\.[^/]*$", 1).alias("stem"), "file").distinct()
     return named.join(stems, "stem").select("doc_id", "file").distinct()
